@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import prepare
+
 #: Rows of one Arrow batch; documents are long, so far fewer than Spark's default.
 BATCH_ROWS = 1024
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Keep Arrow batches small enough for whole documents of any usual length."""
+    prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 

@@ -7,16 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import table
+from lodestone.llm.language import predict_languages
+from lodestone.llm.lexicon import digest_documents
 from lodestone.llm.licenses import scan_licenses
+from lodestone.llm.quality import score_quality
+
+
+def vocabulary_path() -> str:
+    """Where the public tokenizer file of the token operators lies; a parameter of theirs."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_documents(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_license_scan": op4_license_scan,
+        "op6_quality": op6_quality,
+        "op9_language": op9_language,
+        "op10_bpe": op10_bpe,
     }
 
 
