@@ -60,3 +60,17 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8 bytes; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def write_blobs(blobs: DataFrame, path: str) -> None:
+    """One file a row of the binary column `value`, through Spark's own writer: any store, any lost task.
+
+    The text writer ends each row with its line separator, here a zero byte, so a blob must end with one.
+    """
+    rows = blobs.select(F.expr("substring(value, 1, octet_length(value) - 1)").cast("string").alias("value"))
+    rows.write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
+
+
+def read_blobs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of what write_blobs wrote."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")

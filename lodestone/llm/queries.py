@@ -11,6 +11,8 @@ from lodestone.llm.language import predict_languages
 from lodestone.llm.lexicon import digest_documents
 from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.quality import score_quality
+from lodestone.llm.simhash import component_table
+from lodestone.llm.tokenfile import round_trip
 
 
 def vocabulary_path() -> str:
@@ -20,6 +22,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return component_table(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -28,6 +34,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
@@ -38,8 +48,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash": op3_simhash,
         "op4_license_scan": op4_license_scan,
         "op6_quality": op6_quality,
+        "op7_token_file": op7_token_file,
         "op9_language": op9_language,
         "op10_bpe": op10_bpe,
     }
