@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import table
+from lodestone.llm.decontaminate import find_leaks
+from lodestone.llm.hmm import score_documents
 from lodestone.llm.language import predict_languages
 from lodestone.llm.lexicon import digest_documents
 from lodestone.llm.licenses import scan_licenses
@@ -30,6 +32,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +44,10 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
@@ -50,8 +60,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": op3_simhash,
         "op4_license_scan": op4_license_scan,
+        "op5_hmm": op5_hmm,
         "op6_quality": op6_quality,
         "op7_token_file": op7_token_file,
+        "op8_decontaminate": op8_decontaminate,
         "op9_language": op9_language,
         "op10_bpe": op10_bpe,
     }
