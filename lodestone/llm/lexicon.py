@@ -23,6 +23,7 @@ import mmap
 import os
 import re
 import tempfile
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 from hashlib import sha256
@@ -34,11 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import map_batches, tune
+from lodestone.llm.pieces import ODD, is_plain, plain_words, units
 
 #: Words in the lexicon and the longest of them in bytes; entries of a worker's cache; distinct words counted before they are passed on.
-LEXICON_WORDS, LONGEST, CACHE, COUNTED = 1 << 16, 48, 400_000, 400_000
-_PLAIN = re.compile(r"[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
-_APOSTROPHE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
+LEXICON_WORDS, LONGEST, CACHE, COUNTED = 1 << 16, 48, 600_000, 400_000
+_NONE = 1 << 30
+
+
+def _slot(key, size: int):
+    """Where a pair's search begins in a hash table of a power of two."""
+    return ((key >> 32) * 40503 + (key & 0xFFFFFFFF) * 60493) & (size - 1)
 
 
 def byte_letters() -> list[str]:
@@ -49,6 +55,9 @@ def byte_letters() -> list[str]:
     return [letters[c] for c in range(256)]
 
 
+_LETTER_OF = dict(enumerate(byte_letters()))
+
+
 class Vocabulary:
     """Ids, merge ranks and special tokens of a word-end BPE tokenizer file; pickles as its text."""
 
@@ -92,12 +101,14 @@ class Vocabulary:
 
         return Tokenizer.from_str(self.text)
 
+    def letters(self, word: str) -> str:
+        """A plain word in the vocabulary's letters."""
+        return word if word.isascii() else word.encode().decode("latin-1").translate(_LETTER_OF)
+
     def words(self, piece: str) -> list[str]:
         """The words of a text without ASCII blanks, in the vocabulary's letters."""
-        if piece.isascii():
-            low = piece.lower()
-            if all("!" <= c <= "~" for c in low):
-                return (_APOSTROPHE if "'" in low else _PLAIN).findall(low)
+        if is_plain(piece):
+            return [self.letters(w) for w in plain_words(piece)]
         made = self.library.normalizer.normalize_str(piece)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(made)]
 
@@ -122,6 +133,74 @@ class Vocabulary:
                 ranks[at] = rank((letters[at], letters[at + 1]), none)
         return [self.ids[x] for x in letters]
 
+    @cached_property
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """For merge_all: ids of letters within and at the end of a word; the pairs' hash table (keys, ranks); ids that the ranks make."""
+        inner, last = np.full(1 << 16, -1, np.int32), np.full(1 << 16, -1, np.int32)
+        for letter in byte_letters():
+            inner[ord(letter)] = self.ids.get(letter, -1)
+            last[ord(letter)] = self.ids.get(letter + "</w>", -1)
+        size = 1 << (4 * len(self.ranks)).bit_length()
+        keys, ranks = np.full(size, -1, np.int64), np.full(size, _NONE, np.int32)
+        made = np.zeros(len(self.ranks) + 1, np.int32)
+        for (a, b), rank in self.ranks.items():
+            made[rank] = self.ids[a + b]
+            key = self.ids[a] << 32 | self.ids[b]
+            at = _slot(key, size)
+            while keys[at] >= 0:
+                at = (at + 1) % size
+            keys[at], ranks[at] = key, rank
+        return inner, last, keys, ranks, made
+
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """merge() of many words: each step merges one pair in every word that has one left."""
+        out: list[list[int]] = [[]] * len(words)
+        inner, last, keys, ranks, made = self.arrays
+        sizes = np.array([len(w) for w in words])
+        order = np.argsort(sizes, kind="stable")
+        short = order[(sizes[order] > 0) & (sizes[order] <= 32)]
+        for k in order[sizes[order] > 32].tolist():
+            out[k] = self.merge(words[k])
+        for a in range(0, len(short), 8192):
+            some = short[a : a + 8192]
+            n, width = sizes[some], int(sizes[some[-1]])
+            code = np.frombuffer("".join([words[k] for k in some.tolist()]).encode("utf-16-le"), np.uint16)
+            flat, ends = inner[code], np.cumsum(n) - 1
+            flat[ends] = last[code[ends]]
+            if (flat < 0).any():  # a vocabulary without all letters
+                for k in some.tolist():
+                    out[k] = self.merge(words[k])
+                continue
+            token = np.full((len(some), width + 1), -1, np.int64)
+            token[np.arange(width + 1) < n[:, None]] = flat
+            live, column = np.arange(len(some)), np.arange(width)
+            while len(live):
+                now = token[live]
+                key = now[:, :-1] << 32 | now[:, 1:]
+                key[now[:, 1:] < 0] = -2
+                at = _slot(key, len(keys))
+                hit = keys[at]
+                rank = np.where(hit == key, ranks[at], _NONE)
+                more = np.flatnonzero((hit != key) & (hit >= 0) & (key >= 0))
+                while len(more):
+                    at.flat[more] = (at.flat[more] + 1) % len(keys)
+                    hit = keys[at.flat[more]]
+                    found = hit == key.flat[more]
+                    rank.flat[more[found]] = ranks[at.flat[more[found]]]
+                    more = more[~found & (hit >= 0)]
+                best = rank.argmin(1)
+                lowest = rank[np.arange(len(live)), best]
+                go = lowest < _NONE
+                live, now, best = live[go], now[go], best[go]
+                now[np.arange(len(live)), best] = made[lowest[go]]
+                now[:, 1:-1] = np.where(column[1:] > best[:, None], now[:, 2:], now[:, 1:-1])
+                token[live] = now
+            left = (token >= 0).sum(1)
+            whole, ends = token[token >= 0].tolist(), np.cumsum(left).tolist()
+            for k, b, m in zip(some.tolist(), ends, left.tolist(), strict=True):
+                out[k] = whole[b - m : b]
+        return out
+
     def _merge_long(self, letters: list[str]) -> list[int]:
         """The same with a queue, for words of any length."""
         n, ranks = len(letters), self.ranks
@@ -245,81 +324,76 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, compiled: bytes):
         self.vocabulary, self.transducer = vocabulary, Transducer(compiled)
-        self.known: dict[str, list[int]] = {}
-        self.merged: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) or r"(?!)")
 
     def _ids_of(self, words: set[str]) -> dict[str, list[int]]:
-        new = [w for w in words if w not in self.merged]
-        if len(self.merged) + len(new) > CACHE:
-            self.merged.clear()
-            new = list(words)
-        for word, ids in zip(new, self.transducer.lookup([w.encode() for w in new]), strict=True):
-            self.merged[word] = self.vocabulary.merge(word) if ids is None else ids
-        return self.merged
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Work out the ids of pieces (texts without ASCII blanks) that are not known."""
-        split: dict[str, list] = {}
-        for piece in pieces:
-            if self.special.search(piece):
-                whole, at = [], 0
-                for m in self.special.finditer(piece):
-                    whole += [*self.vocabulary.words(piece[at : m.start()]), self.vocabulary.special[m[0]]]
-                    at = m.end()
-                split[piece] = whole + self.vocabulary.words(piece[at:])
-            else:
-                split[piece] = self.vocabulary.words(piece)
-        ids = self._ids_of({w for ws in split.values() for w in ws if isinstance(w, str)})
-        for piece, ws in split.items():
-            self.known[piece] = [k for w in ws for k in ([w] if isinstance(w, int) else ids[w])]
+        found = dict(zip(words, self.transducer.lookup([w.encode() for w in words]), strict=True))
+        unseen = [w for w, ids in found.items() if ids is None]
+        return found | dict(zip(unseen, self.vocabulary.merge_all(unseen), strict=True))
+
+    def _words(self, piece: str) -> list:
+        """Words, and ids of special tokens, of a piece (a text without ASCII blanks)."""
+        out, at = [], 0
+        for m in self.special.finditer(piece):
+            out += [*self.vocabulary.words(piece[at : m.start()]), self.vocabulary.special[m[0]]]
+            at = m.end()
+        return out + self.vocabulary.words(piece[at:])
+
+    def learn(self, new: list[str]) -> None:
+        """Work out the ids of units that are not known, as bytes."""
+        letters, plain = self.vocabulary.letters, [u for u in new if u[0] != ODD]
+        odd = {u: self._words(u[1:]) for u in new if u[0] == ODD}
+        words = list(map(letters, plain))
+        ids = self._ids_of({*words, *(w for ws in odd.values() for w in ws if isinstance(w, str))})
+        made = [ids[w] for w in words] + [[k for w in ws for k in ([w] if isinstance(w, int) else ids[w])] for ws in odd.values()]
+        flat = np.array([k for m in made for k in m], np.uint32).tobytes()
+        at = 0
+        for unit, m in zip([*plain, *odd], made, strict=True):
+            self.known[unit] = flat[at : at + 4 * len(m)]
+            at += 4 * len(m)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        pieces = [_pieces(t) for t in texts]
+        special = list(self.vocabulary.special)
+        split = [units(t, special) for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
-        self.learn({p for ps in pieces for p in ps if p not in self.known})
+        self.learn(list(set().union(*split).difference(self.known)))
         known = self.known
-        return [[k for p in ps for k in known[p]] for ps in pieces]
+        return [np.frombuffer(b"".join([known[u] for u in us]), np.uint32).tolist() for us in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         """As a tokenizer without a decoder does: the tokens with blanks between."""
-        return " ".join(map(self.vocabulary.tokens.__getitem__, ids))
-
+        tokens = self.vocabulary.tokens
+        return " ".join([tokens[k] for k in ids])
 
-def _pieces(text: str | None) -> list[str]:
-    """A text at its ASCII blanks; no word, normal form or special token reaches across one."""
-    return text.replace("\n", " ").split(" ") if text else []
 
-
-def count_pieces(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """(piece, n) over all documents; tasks pass on partial counts, so that one hot word is a few rows."""
+def count_words(docs: DataFrame, special: list[str], text_column: str = "text") -> DataFrame:
+    """(word, n) over all documents; tasks pass on partial counts, so that one hot word is a few rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"piece": pa.array(list(seen.keys()), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(seen.keys()), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(_pieces(text))
+                seen.update(units(text, special))
             if len(seen) > COUNTED:
                 yield out()
                 seen.clear()
         yield out()
 
-    rows = map_batches(docs.select(text_column), count, "piece string, n long")
-    return rows.where(f"octet_length(piece) between 1 and {LONGEST}").groupBy("piece").agg(F.sum("n").alias("n"))
+    rows = map_batches(docs.select(text_column), count, "word string, n long")
+    return rows.where(f"octet_length(word) <= {LONGEST}").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_WORDS, text_column: str = "text") -> bytes:
-    """Compile the words of the most frequent pieces of the corpus; the driver gets `words` pieces at most."""
-    top = count_pieces(docs, text_column).orderBy(F.desc("n"), "piece").limit(words).toArrow()
-    entries = {w for p in top.column("piece").to_pylist() for w in vocabulary.words(p)}
-    return compile_transducer({w.encode(): vocabulary.merge(w) for w in entries if len(w.encode()) <= LONGEST})
+    """Compile the most frequent words of the corpus; the driver gets `words` rows at most."""
+    top = count_words(docs, list(vocabulary.special), text_column).orderBy(F.desc("n"), "word").limit(words).toArrow()
+    plain = [vocabulary.letters(w) for w in top.column("word").to_pylist() if w[0] != ODD]
+    return compile_transducer({w.encode(): ids for w, ids in zip(plain, vocabulary.merge_all(plain), strict=True) if len(w.encode()) <= LONGEST})
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, compiled: bytes | None = None, text_column: str = "text") -> DataFrame:
@@ -327,13 +401,24 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, compiled: bytes | No
     return _run(docs, vocabulary_path, compiled, text_column, "ids array<int>, decoded string", lambda ids, text: (ids, text))
 
 
+def tokenize_documents(docs: DataFrame, vocabulary_path: str, compiled: bytes | None = None, text_column: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids array<int>, and the digests of digest_documents."""
+    digest = _digest(vocabulary_path)
+    return _run(docs, vocabulary_path, compiled, text_column, "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string", lambda ids, text: (len(ids), np.array(ids, np.int32), *digest(ids, text)[1:]))
+
+
 def digest_documents(docs: DataFrame, vocabulary_path: str, compiled: bytes | None = None, text_column: str = "text") -> DataFrame:
     """doc_id and the digests of what encode_documents gives, taken where the ids are made."""
+    return _run(docs, vocabulary_path, compiled, text_column, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digest(vocabulary_path))
+
+
+def _digest(vocabulary_path: str):
+    decimal = [str(k) for k in range(len(Vocabulary.load(vocabulary_path).tokens))]
 
     def digest(ids: list[int], text: str) -> tuple:
-        return len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(text.encode()).hexdigest()
+        return len(ids), sha256(" ".join([decimal[k] for k in ids]).encode()).hexdigest(), sha256(text.encode()).hexdigest()
 
-    return _run(docs, vocabulary_path, compiled, text_column, "n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
+    return digest
 
 
 def _run(docs: DataFrame, vocabulary_path: str, compiled: bytes | None, text_column: str, columns: str, result) -> DataFrame:
