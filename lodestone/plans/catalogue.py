@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lodestone.plans import base, relational, retrieval, scalars  # noqa: F401  registers
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(base.ORACLES)
