@@ -25,8 +25,9 @@ def positive_ranks(vectors: DataFrame, queries: DataFrame, positives: DataFrame)
 
 
 def hash_share(ident: Column, seed: int, buckets: int = 100) -> Column:
-    """A reproducible bucket of an id, the same wherever CRC-32 is: 0 to buckets - 1."""
-    return F.crc32(F.concat(F.lit(f"{seed}:"), ident.cast("string")).cast("binary")) % buckets
+    """A reproducible bucket of an id, 0 to buckets - 1: 28 bits of the SHA-1 over `seed:id`."""
+    h = F.sha1(F.concat(F.lit(f"{seed}:"), ident.cast("string")).cast("binary"))
+    return F.conv(F.substring(h, 1, 7), 16, 10).cast("long") % buckets
 
 
 def split(rows: DataFrame, ident: str, seed: int, held_out: int = 1) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import base, relational, retrieval, scalars  # noqa: F401  registers
+from lodestone.plans import base, clusters, lifecycle, relational, retrieval, scalars  # noqa: F401  registers
 
 
 def queries() -> dict:
