@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 ZERO = 0.0
 
@@ -35,7 +36,7 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def quantise_scale(v: Column) -> Column:
-    top = F.array_max(F.transform(doubles(v), F.abs))
+    top = F.array_max(F.transform(doubles(v), lambda x: F.abs(x)))
     return F.when(F.coalesce(top, F.lit(ZERO)) == 0, F.lit(1.0)).otherwise(top / 127)
 
 
@@ -54,7 +55,7 @@ def maxsim(query: Column, doc: Column) -> Column:
     return F.when(F.size(doc) == 0, F.lit(ZERO)).otherwise(F.aggregate(best, F.lit(ZERO), lambda s, x: s + x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def maxsim_packed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """maxsim() over int8 blobs: query bytes and scale, document bytes and scale; rows of 128."""
     for q, q_scale, d, d_scale in batches:
@@ -65,7 +66,7 @@ def maxsim_packed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Se
         yield pd.Series(out)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def unpack_int8(blobs: pd.Series, scales: pd.Series) -> pd.Series:
     """Dequantised values of a binary int8 blob."""
     return pd.Series([(np.frombuffer(b, np.int8) * np.float32(s)).astype(np.float32) for b, s in zip(blobs, scales, strict=True)])

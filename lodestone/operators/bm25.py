@@ -72,8 +72,8 @@ def pool_score(pool: DataFrame, docs: DataFrame, terms: DataFrame, k1: float = 1
 
 
 def light_stem(term: Column) -> Column:
-    """An approximation of English stemming: plural, -ing, -ed and -ly endings."""
-    return F.regexp_replace(term, "(?<=[a-z]{3})(?:ies|es|s|ing|ed|ly)$", "")
+    """An approximation of English stemming: plural, -ing, -ed, -ly and -e endings."""
+    return F.regexp_replace(term, "(?<=[a-z]{3})(?:ies|es|s|ing|ed|ly|e)$", "")
 
 
 def full_text(docs: DataFrame, questions: DataFrame, limit: int = 3000) -> DataFrame:

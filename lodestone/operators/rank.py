@@ -56,9 +56,9 @@ def adjacent(rows: DataFrame, order: str, value: str) -> DataFrame:
     return rows.withColumn("d_key", dk).withColumn("d_value", dv).withColumn("gain", F.col("d_value") / F.col("d_key") * 100)
 
 
-def pareto(rows: DataFrame, cost: str, value: str) -> DataFrame:
-    """is_optimal: no row that costs as much or less has as high a value (the first of equals counts)."""
-    w = Window.orderBy(F.asc(cost), F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+def pareto(rows: DataFrame, cost: str, value: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """is_optimal: no row that costs as much or less has as high a value (of equals the first by `ties` counts)."""
+    w = Window.orderBy(F.asc(cost), F.desc(value), *ties).rowsBetween(Window.unboundedPreceding, -1)
     before = F.max(value).over(w)
     return rows.withColumn("is_optimal", before.isNull() | (F.col(value) > before))
 

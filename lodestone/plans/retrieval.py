@@ -682,7 +682,7 @@ def wn6(spark: SparkSession, d: str) -> DataFrame:
 @query("WN7_pareto", f"WITH {GRID_SQL}, s AS (SELECT a, b, sum(gold)::BIGINT AS gold, round(avg(size), 6) AS mean_size FROM uq GROUP BY a, b) SELECT a, b, gold, mean_size, coalesce(gold > max(gold) OVER (ORDER BY mean_size, gold DESC, a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_optimal FROM s")
 def wn7(spark: SparkSession, d: str) -> DataFrame:
     sums = union_grid(spark, d).groupBy("a", "b").agg(F.sum("gold").alias("gold"), rounded(F.avg("size")).alias("mean_size"))
-    return rank.pareto(sums, "mean_size", "gold")
+    return rank.pareto(sums, "mean_size", "gold", ("a", "b"))
 
 
 @query("WN8_smallest_k", f"WITH {CURVE} SELECT CAST(min(k) AS INTEGER) AS k FROM cu WHERE pct >= 40")

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 def text_tree(spark: SparkSession, root: str) -> DataFrame:
     """All *.txt files below root: path relative to it, source (first folder), text, size, modification time. Bytes that are no UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root)
-    relative = F.regexp_replace("path", F.lit("^.*?" + _quoted(root.split(":")[-1].rstrip("/")) + "/"), F.lit(""))
+    relative = F.regexp_replace("path", F.lit("^.*?/" + _quoted(root.split("://")[-1].strip("/")) + "/"), F.lit(""))
     source = F.when(F.contains(relative, F.lit("/")), F.split_part(relative, F.lit("/"), F.lit(1)))
     return files.select(relative.alias("path"), source.alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("length").alias("size"), "modificationTime")
 
