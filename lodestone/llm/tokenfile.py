@@ -19,18 +19,19 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from hashlib import sha1
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, map_batches, read_blobs, shared_path, tune, write_blobs
+from lodestone.llm.pieces import ODD, units
 
-#: The id that ends a document; bytes of a file, about; pieces a worker remembers.
-END, FILE_BYTES, CACHE = 2, 8 << 20, 400_000
+#: The id that ends a document; bytes of a file, about; words that a worker remembers.
+END, FILE_BYTES, CACHE = 2, 8 << 20, 1_400_000
 MAGIC = b"LDTK0001"
 #: Lengths that a control byte stands for.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
@@ -60,56 +61,105 @@ def unpack(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return out
 
 
+#: Words that this worker knows, by tokenizer; they outlive a task.
+_KNOWN: dict[str, dict[str, bytes]] = {}
+
+
 def encoder(vocabulary: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Encodes texts to little-endian ids with the library; a text is split at ASCII blanks, which no token crosses, and pieces met before are not encoded again."""
+    """Encodes texts to little-endian ids with the library.
+
+    Texts are taken apart into words, and only words that are not known are
+    encoded, many in one text: a token that ends a word tells where the next
+    begins. Pieces that are not plain, or hold a special token, are encoded
+    one by one.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_str(vocabulary)
     library.no_truncation()
     library.no_padding()
-    kind = "<u2" if library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+    tokens = library.get_vocab(with_added_tokens=True)
+    kind = "<u2" if max(tokens.values()) < 1 << 16 else "<u4"
+    width = int(kind[-1])
     end = np.array([END], kind).tobytes()
-    known: dict[str, bytes] = {}
+    ends_word = np.zeros(max(tokens.values()) + 1, bool)
+    ends_word[[k for t, k in tokens.items() if t.endswith("</w>")]] = True
+    special = [t.content for t in library.get_added_tokens_decoder().values()]
+    known = _KNOWN.setdefault(sha1(vocabulary.encode()).hexdigest(), {})
+
+    def learn(new: list[str]) -> None:
+        words = [u for u in new if u[0] != ODD]
+        for a in range(0, len(words), 512):
+            some = words[a : a + 512]
+            made = np.array(library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, kind)
+            last = np.flatnonzero(ends_word[made]) + 1
+            if len(last) != len(some):  # a tokenizer of another kind
+                known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(some, library.encode_batch_fast(some, add_special_tokens=False), strict=True))
+                continue
+            raw, at = made.tobytes(), 0
+            for word, stop in zip(some, (last * width).tolist(), strict=True):
+                known[word] = raw[at:stop]
+                at = stop
+        odd = [u for u in new if u[0] == ODD]
+        known.update((u, np.array(e.ids, kind).tobytes()) for u, e in zip(odd, library.encode_batch_fast([u[1:] for u in odd], add_special_tokens=False), strict=True))
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        split = [units(t, special) for t in texts]
         if len(known) > CACHE:
             known.clear()
-        new = list({p for ps in pieces for p in ps if p not in known})
-        for piece, made in zip(new, library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = np.array(made.ids, kind).tobytes()
-        return [b"".join([known[p] for p in ps]) + end for ps in pieces]
+        learn(list(set().union(*split).difference(known)))
+        return [b"".join([known[u] for u in us]) + end for us in split]
 
     return encode
 
 
-def ids_table(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataFrame:
-    """doc_id and ids (little-endian, the end id last)."""
+def bounds(docs: DataFrame) -> np.ndarray:
+    """doc_ids that part the documents into about equal ranges, one a shuffle partition; only ids are read."""
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    if parts == 1:
+        return np.zeros(0, np.int64)
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0]
+    return np.unique(np.array(found or [], np.int64))
+
+
+def ids_table(docs: DataFrame, vocabulary: str, size: int, width: int, text_column: str = "text") -> DataFrame:
+    """range, doc_id, ids (little-endian, the end id last), and on a task's last row the counts of all its ids."""
+    edges = bounds(docs)
     shared = tune(docs.sparkSession).sparkContext.broadcast(vocabulary)  # one file of a public tokenizer
+    kind = f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value)
+        encode, seen, last = encoder(shared.value), np.zeros(size, np.int64), None
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encode(part.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
+                made = encode(part.column(1).to_pylist())
+                seen += np.bincount(np.frombuffer(b"".join(made), kind), minlength=size)
+                if last is not None:
+                    yield last
+                where = [-1 if k is None else int(np.searchsorted(edges, k)) for k in part.column(0).to_pylist()]
+                last = pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), part.column(0), pa.array(made, pa.binary()), pa.nulls(len(made), pa.binary())], ["range", "doc_id", "ids", "counts"])
+        if last is not None:
+            counts = pa.array([None] * (last.num_rows - 1) + [seen.astype("<i8").tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*last.columns[:3], counts], last.schema.names)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column), run, "doc_id long, ids binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column), run, "range int, doc_id long, ids binary, counts binary")
 
 
-def rank_table(ids: DataFrame, width: int, size: int) -> np.ndarray:
+def rank_table(ids: DataFrame, size: int) -> np.ndarray:
     """Ids by falling frequency over all documents, ties by id; ids that do not occur come last."""
-    kind = f"<u{width}"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size, np.int64)
         for batch in batches:
-            seen += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=size)
+            for raw in batch.column(0).to_pylist():
+                seen += np.frombuffer(raw, "<i8")
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["id", "n"])
 
-    got = map_batches(ids.select("ids"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # one row an id
+    rows = ids.select("counts").where("counts is not null")  # one row a task
+    got = map_batches(rows, spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # one row an id
     total = np.zeros(size, np.int64)
     total[got.column("id").to_numpy()] = got.column("n").to_numpy()
     return np.argsort(-total, kind="stable").astype(np.uint32)
@@ -123,40 +173,32 @@ def _blob(part: int, index: int, docs: list[tuple[int | None, int, bytes, bytes]
 
 
 def write(ids: DataFrame, path: str, order: np.ndarray, width: int) -> None:
-    """Files of the documents in ascending doc_id order."""
+    """Files of the documents in ascending doc_id order: a range's documents meet in one task, and a file holds documents of one range."""
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     shared = ids.sparkSession.sparkContext.broadcast(rank)  # one number an id
     kind = f"<u{width}"
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
-        for batch in batches:
-            made = [(len(raw) // width, *pack(rank[np.frombuffer(raw, kind)])) for raw in batch.column(1).to_pylist()]
-            n, control, data = zip(*made, strict=True) if made else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["doc_id", "n", "control", "data"])
-
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, index, held, room = TaskContext.get().partitionId(), 0, [], 0
+        rank, at, index, held, room = shared.value, None, 0, [], 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                held.append(row)
-                room += len(row[2]) + len(row[3]) + 17
-                if room >= FILE_BYTES:
-                    yield pa.RecordBatch.from_pydict({"value": pa.array([_blob(part, index, held)], pa.binary())})
+            for where, doc, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if held and (where != at or room >= FILE_BYTES):
+                    yield pa.RecordBatch.from_pydict({"value": pa.array([_blob(at, index, held)], pa.binary())})
                     index, held, room = index + 1, [], 0
+                if where != at:
+                    at, index = where, 0
+                held.append((doc, len(raw) // width, *pack(rank[np.frombuffer(raw, kind)])))
+                room += len(held[-1][2]) + len(held[-1][3]) + 17
         if held:
-            yield pa.RecordBatch.from_pydict({"value": pa.array([_blob(part, index, held)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"value": pa.array([_blob(at, index, held)], pa.binary())})
 
-    coded = map_batches(ids, encode, "doc_id long, n long, control binary, data binary")
-    spark = ids.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = coded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n", "data", "control")
+    placed = ids.select("range", "doc_id", "ids").repartition("range").sortWithinPartitions("range", "doc_id", "ids")
     write_blobs(map_batches(placed, files, "value binary"), f"{path}/files")
 
 
 def parse(content: bytes, order: np.ndarray) -> tuple[int, int, list[int | None], np.ndarray, np.ndarray]:
-    """Partition, index, doc_ids, sizes and all ids of a file."""
+    """Range, index, doc_ids, sizes and all ids of a file."""
     magic, part, index, n, control, data = struct.unpack_from("<8sqqqqq", content)
     if magic != MAGIC:
         raise ValueError("not a token file")
@@ -204,8 +246,8 @@ def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
     size = max(Tokenizer.from_str(vocabulary).get_vocab(with_added_tokens=True).values()) + 1
     width = 2 if size <= 1 << 16 else 4
-    ids = cut(ids_table(docs, vocabulary), "ids")
-    order = rank_table(ids, width, size)
+    ids = cut(ids_table(docs, vocabulary, size, width), "ids")
+    order = rank_table(ids, size)
     path = shared_path(spark, "tokens")
     write(ids, path, order, width)
     return read(spark, path, order, "ids_crc32 long", lambda x: (zlib.crc32(x.astype("<u4").tobytes()),), [pa.int64()])
