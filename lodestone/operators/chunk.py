@@ -14,7 +14,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
@@ -121,6 +121,18 @@ def window_similarities(vectors: np.ndarray, window: int = WINDOW, stride: int =
     return out
 
 
+def token_vectors(text: str) -> np.ndarray:
+    spans = token_spans(text)
+    return np.array([hashed_vector([text[a:b]]) for a, b in spans]) if spans else np.zeros((0, 32))
+
+
+def local_minima(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """Candidates for valleys as a window plan: strict local minima that lie clearly below their group's maximum."""
+    w = Window.partitionBy(group).orderBy(order)
+    placed = rows.withColumn("_a", F.lag(value).over(w)).withColumn("_b", F.lead(value).over(w)).withColumn("_top", F.max(value).over(Window.partitionBy(group)))
+    return placed.where((F.col(value) < F.col("_a")) & (F.col(value) < F.col("_b")) & (F.col(value) < F.col("_top") - VALLEY)).drop("_a", "_b", "_top")
+
+
 def valleys(sims: np.ndarray, k: int, gap: int) -> list[int]:
     """The k deepest strict local minima that lie clearly below the maximum, at least `gap` apart, in order."""
     if len(sims) < 3 or k <= 0:
@@ -143,7 +155,7 @@ def token_chunks(text: str) -> list[tuple[int, int, int, float | None]]:
     spans = token_spans(text)
     if not spans:
         return [(0, 0, len(text), None)] if text else []
-    vectors = np.array([hashed_vector([text[a:b]]) for a, b in spans])
+    vectors = token_vectors(text)
     out: list[tuple[int, int, int, float | None]] = []
 
     def edge(i: int, first: int, last: int, start: int, end: int) -> int:

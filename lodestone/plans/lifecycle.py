@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
-from lodestone.operators import chunk, ingest, mining, models
+from lodestone.operators import chunk, ingest, mining, models, rank
 from lodestone.plans.base import query, rounded, scratch, stored, table
-from lodestone.plans.retrieval import vectors
+from lodestone.plans.retrieval import BOTH, RRF, fused, vectors
 from lodestone.streaming import events as ev
 
 
@@ -32,6 +32,38 @@ def ch2(spark: SparkSession, d: str) -> DataFrame:
     return chunk.sentence_table(docs(spark, d))
 
 
+@query("CH3_masked_code", "SELECT conv_id, turn, CAST(1 AS BIGINT) AS pieces FROM conversations")
+def ch3(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences that hold any part of a fenced block around a turn's text: always exactly one."""
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat(F.lit("Before it. ```"), F.substring(F.regexp_replace("text", "`", ""), 1, 1000), F.lit("``` After it.")).alias("text"))
+    whole = rows.select("doc_id", (F.instr("text", "```") - 1).alias("a"), (F.length("text") - F.length(F.lit(" After it."))).alias("b"))
+    parts = chunk.sentence_table(rows).join(whole, "doc_id").where((F.col("start") < F.col("b")) & (F.col("end") > F.col("a")))
+    return parts.groupBy("doc_id").agg(F.count("*").alias("pieces")).select(F.expr("doc_id div 1000").alias("conv_id"), (F.col("doc_id") % 1000).alias("turn"), "pieces")
+
+
+@query("CH5_bounded_sentences", "SELECT doc_id, true AS bounded FROM documents WHERE text <> ''")
+def ch5(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.sentence_table(docs(spark, d)).groupBy("doc_id").agg((F.max(F.col("end") - F.col("start")) <= chunk.LONG + chunk.AHEAD).alias("bounded"))
+
+
+@query("CH6_window_similarities", r"SELECT doc_id, CAST(greatest(0, ceil(len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) / 32) - 1) AS BIGINT) AS n_windows FROM documents")
+def ch6(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.apply(docs(spark, d), lambda t: [(len(chunk.window_similarities(chunk.token_vectors(t))),)], "n_windows long", ["n_windows"])
+
+
+@query(
+    "CH7_local_minima",
+    "WITH s AS (SELECT user_id, event_id, value, lag(value) OVER w AS before, lead(value) OVER w AS after, max(value) OVER (PARTITION BY user_id) AS top FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, value FROM s WHERE value < before AND value < after AND value < top - 0.1",
+)
+def ch7(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.local_minima(table(spark, d, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
+
+
+@query("CH9_semantic_cuts")
+def ch9(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.apply(docs(spark, d), lambda t: [(c,) for c in chunk.semantic_cuts(t, chunk.sentences(t))], "cut long", ["cut"])
+
+
 @query("CH8_token_chunks")
 def ch8(spark: SparkSession, d: str) -> DataFrame:
     return chunk.chunk_table(docs(spark, d), "token")
@@ -200,6 +232,13 @@ def sm2(spark: SparkSession, d: str) -> DataFrame:
 REFUSAL = "The answer could not be found in the provided documents."
 
 
+@query("AGT1_retrieve_and_page", f"WITH {BOTH}, {RRF} SELECT query_id, doc_id, rank, substr(text, 1, 6000) AS text FROM fr JOIN documents USING (doc_id) WHERE rank <= 5")
+def agt1(spark: SparkSession, d: str) -> DataFrame:
+    """The data flow of an agent's turn: keyword and dense lists, fused, the first page with texts."""
+    page = rank.page(fused(spark, d), "query_id", 0, 5)
+    return page.join(table(spark, d, "documents").select("doc_id", F.substring("text", 1, 6000).alias("text")), "doc_id").select("query_id", "doc_id", "rank", "text")
+
+
 @query(
     "AGT2_answers",
     f"SELECT conv_id, turn, CASE WHEN trim(CASE WHEN turn % 5 = 4 THEN ' ' ELSE text END) = '' THEN '{REFUSAL}' ELSE text END AS answer, array_to_string(list_filter(list_transform(string_split(' d' || conv_id || ', ,d' || turn, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS cited FROM conversations WHERE role = 'assistant'",

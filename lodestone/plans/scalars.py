@@ -69,6 +69,12 @@ def src9(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(F.expr("doc_id div 1000").alias("chunk")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
+@query("SRC11_vector_arrays", "SELECT vec_id, len(embedding) AS dims, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings")
+def src11(spark: SparkSession, d: str) -> DataFrame:
+    total = F.aggregate(vx.doubles(F.col("embedding")), F.lit(0.0), lambda a, x: a + x)
+    return table(spark, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("dims"), rounded(total).alias("total"))
+
+
 @query(
     "SRC12_fingerprint",
     "WITH s AS (SELECT count(*) AS n, coalesce(sum(CAST('0x' || substr(md5(url), 1, 15) AS BIGINT)), 0) AS t FROM pages) SELECT n, sha256(CAST(n AS VARCHAR) || ':' || CAST(t AS VARCHAR)) AS fingerprint FROM s",
