@@ -9,7 +9,7 @@ from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
 from lodestone.operators import dense, rank, tree
 from lodestone.plans.base import query, rounded, table
-from lodestone.plans.retrieval import asked, vectors
+from lodestone.plans.retrieval import ITEMS, _bm, asked, item_ranking, vectors
 
 
 @query("JN1_hydrate", "SELECT l.doc_id, d.source, d.n_chars FROM labels l JOIN documents d USING (doc_id)")
@@ -17,10 +17,11 @@ def jn1(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "source", "n_chars").join(table(spark, d, "labels").select("doc_id"), "doc_id")
 
 
-@query("JN2_ordered_lookup", "SELECT r.pos, d.doc_id, d.lang FROM (SELECT doc_id, row_number() OVER (ORDER BY toxic DESC, doc_id DESC) AS pos FROM labels) r JOIN documents d USING (doc_id)")
+@query("JN2_ordered_lookup", f"WITH {_bm(ITEMS, k=20)} SELECT query_id, rank AS pos, doc_id, label FROM bm JOIN embeddings ON vec_id = doc_id")
 def jn2(spark: SparkSession, d: str) -> DataFrame:
-    order = table(spark, d, "labels").select("doc_id", F.row_number().over(Window.orderBy(F.desc("toxic"), F.desc("doc_id"))).cast("long").alias("pos"))
-    return order.join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("pos", "doc_id", "lang")
+    """Rows for ranked ids: the place is carried along, ids that are not there are left out."""
+    order = item_ranking(spark, d, 20).select("query_id", F.col("rank").alias("pos"), "doc_id")
+    return order.join(vectors(spark, d).select("doc_id", "label"), "doc_id").select("query_id", "pos", "doc_id", "label")
 
 
 @query("JN3_not_embedded", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
