@@ -35,6 +35,8 @@ _CODE = re.compile(r"```.*?(?:```|\Z)|<!--.*?-->|`[^`\n]+`", re.S)
 _URL = re.compile(r"https?://\S+|www\.\S+")
 _BULLET = re.compile(r"(?m)^[ \t]*(?:[-*•+]|\d{1,3}[.)])[ \t]+")
 _BREAK = re.compile(r"\n[ \t]*\n+")
+_BEFORE = re.compile(r"(?:[^\W_]|\.)*\Z")
+_NUMBER = re.compile(r"\d[\d.]*")
 _STOP = re.compile(r"[.!?]+[\"')\]]*(?=\s|\Z)")
 
 
@@ -46,18 +48,15 @@ def _masked(text: str) -> tuple[str, list[tuple[int, int]]]:
 
 
 def _ends_sentence(text: str, at: int) -> bool:
-    """Whether the full stop at a place ends a sentence: not after an abbreviation, a list number or within a decimal."""
+    """Whether the terminator at a place ends a sentence: a full stop doesn't after an abbreviation, a list number or within a decimal."""
     if text[at] != ".":
         return True
-    start = at
-    while start and (text[start - 1].isalnum() or text[start - 1] == "."):
-        start -= 1
-    word, after = text[start:at].rstrip("."), text[at + 1 : at + 2]
-    if word in ABBREVIATIONS:
-        return False
-    if word and word.replace(".", "").isdigit():
-        return not (after.isdigit() or ((not after or after.isspace()) and len(word.split(".")[0]) <= 3))
-    return True
+    word = _BEFORE.search(text, max(0, at - 32), at)[0].rstrip(".")
+    following = text[at + 1 : at + 2]
+    if _NUMBER.fullmatch(word):
+        listed = len(word.partition(".")[0]) <= 3 and not following.strip()
+        return not (listed or following.isdigit())
+    return word not in ABBREVIATIONS
 
 
 def sentences(text: str) -> list[tuple[int, int]]:

@@ -438,7 +438,8 @@ CENTRES = "ce AS (SELECT label AS cluster, list(x ORDER BY i) AS c FROM (SELECT
 def rt22(spark: SparkSession, d: str) -> DataFrame:
     centres = dense.elementwise(table(spark, d, "embeddings"), "label", "embedding").withColumnRenamed("label", "cluster")
     members = vectors(spark, d).select(F.col("label").alias("cluster"), "doc_id")
-    return rerank.cluster_expansion(asked(spark, d), centres, members, text_list(spark, d).select("query_id", "doc_id"))
+    found = rerank.cluster_expansion(asked(spark, d), centres, members, text_list(spark, d).select("query_id", "doc_id"))
+    return found.withColumn("cluster", F.col("cluster").cast("int"))
 
 
 @query(
