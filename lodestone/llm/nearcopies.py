@@ -9,7 +9,8 @@ RECALL of the pairs at the threshold together (more similar pairs surely).
 Pairs whose further bits are far apart are dropped at once, all others are
 checked on their exact shingle sets. In a dense group, of more than DENSE
 pairs a member, a task passes on each member's nearest pairs and a minimum
-spanning forest instead of all pairs; every word's task does so anew.
+spanning forest instead of all pairs; every block of every word does so anew,
+by bits of its own.
 
 The plan depends on the number of documents by this rule alone.
 
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, map_batches, tune, utf8
 from lodestone.llm.components import components
-from lodestone.llm.simhash import block_bounds, dealt, shingle_hashes
+from lodestone.llm.simhash import block_bounds, dealt, shingle_hashes, split_hot, sub_bits
 from lodestone.llm.trie import forest, self_join
 
 WORDS, SIMILARITY, RECALL, BUDGET = 5, 0.8, 0.99, 3
-#: Pairs a member from which a group is dense; nearest pairs of a member that are passed on then; rows gathered before they are joined.
-DENSE, NEAREST, GATHER = 8, 4, 1 << 18
+#: Pairs a member above which a group is dense; nearest pairs of a member that are passed on then; rows gathered before they are joined.
+DENSE, NEAREST, GATHER = 2, 2, 1 << 18
+#: Rows of three longs up to which a stored table is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Further bits that two texts at the threshold differ in: the mean and so many standard deviations.
 SPREAD = 3.5
 
@@ -45,7 +48,7 @@ def plan(n: int, similarity: float = SIMILARITY) -> tuple[int, int]:
     """Bits joined and number of words for n texts."""
     cosine = 2 * similarity / (1 + similarity)
     p = math.acos(cosine) / math.pi
-    bits = 16
+    bits = 20
     while bits < 56 and sum(math.comb(bits, k) for k in range(BUDGET + 1)) * n > 2.0**bits:
         bits += 1
     met = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(BUDGET + 1))
@@ -80,7 +83,7 @@ def sketch(text: bytes, words: int) -> np.ndarray:
 
 
 def _pick(i: np.ndarray, j: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the pairs to pass on: all of a sparse group, of a dense one the nearest and a forest."""
+    """Positions of the pairs to pass on: all of a sparse group, of a dense one the nearest and a minimum spanning forest."""
     tree = forest(n, i, j, apart)
     label = np.arange(n)
     for _ in range(64):  # smallest member of each group, over the forest
@@ -99,11 +102,11 @@ def _pick(i: np.ndarray, j: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray
     keep = ~dense
     keep[tree] = True
     at = np.flatnonzero(dense)
-    for end in (i, j):
-        order = at[np.lexsort((apart[at], end[at]))]
-        first = np.flatnonzero(np.append(True, np.diff(end[order]) != 0))
-        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-        keep[order[rank < NEAREST]] = True
+    end, apart = np.concatenate([i[at], j[at]]), np.concatenate([apart[at], apart[at]])
+    order = np.lexsort((apart, end))
+    first = np.flatnonzero(np.append(True, np.diff(end[order]) != 0))
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    keep[at[order[rank < NEAREST] % len(at)]] = True
     return np.flatnonzero(keep)
 
 
@@ -122,9 +125,9 @@ def candidates(classes: DataFrame, bits: int, words: int, similarity: float = SI
             rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(cls), words)
             for t in range(words):
                 word, more = rows[:, t], rows[:, (t + 1) % words]
-                for k, value, _ in dealt(word & low, bits, BUDGET):
+                for k, value, turned in dealt(word & low, bits, BUDGET):
                     key = (value.astype(np.int64) * words + t) * blocks + k
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(word.view(np.int64)), pa.array(more.view(np.int64)), pa.array(cls)], ["key", "word", "more", "cls"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(word.view(np.int64)), pa.array(more.view(np.int64)), pa.array(cls), pa.array(sub_bits(turned, bits, bounds[k][1]))], ["key", "word", "more", "cls", "sub"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(part: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -167,7 +170,7 @@ def candidates(classes: DataFrame, bits: int, words: int, similarity: float = SI
                 held = held[:, last:]
         yield from done(held)
 
-    rows = map_batches(classes.select("cls", "sketch"), deal, "key long, word long, more long, cls long")
+    rows = split_hot(map_batches(classes.select("cls", "sketch"), deal, "key long, word long, more long, cls long, sub int"), BUDGET)
     return map_batches(rows.repartition("key").sortWithinPartitions("key"), join, "u long, v long").distinct()
 
 
@@ -191,24 +194,35 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), check, "u long, v long")
 
 
+def _sized(stored: DataFrame) -> DataFrame:
+    """A stored table of few narrow columns, broadcast if its rows are counted to be few."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(cls, group, keeper, n) of every class that has a copy, equal or near: its group and the smallest doc_id there."""
     spark = tune(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("cls", class_id(F.col("text")))
-    classes = cut(own.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
-    bits, words = plan(max(2, classes.count()), similarity)
-    texts = own.join(classes.select("cls", "first_id"), "cls").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "text")
+    bits, words = plan(max(2, docs.count()), similarity)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(t, words).tobytes() for t in utf8(batch.column(1))], pa.binary())], ["cls", "sketch"])
-
-    sketches = cut(map_batches(own.select("cls", "text", "doc_id").join(classes.select("cls", "first_id"), "cls").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "text"), draw, "cls long, sketch binary").dropDuplicates(["cls"]), "sketches")
-    pairs = cut(candidates(sketches, bits, words, similarity), "pairs")
+            made: dict[bytes, bytes] = {}
+            texts = utf8(batch.column(1))
+            for t in texts:
+                if t not in made:
+                    made[t] = sketch(t, words).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([made[t] for t in texts], pa.binary())], ["doc_id", "cls", "sketch"])
+
+    # every row's sketch is drawn where its text is, so that no text is shuffled for it
+    drawn = map_batches(own.select("doc_id", "text", "cls"), draw, "doc_id long, cls long, sketch binary")
+    classes = cut(drawn.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    pairs = cut(candidates(classes, bits, words, similarity), "pairs")
     ends = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
-    wanted = cut(texts.join(ends, "cls", "left_semi").dropDuplicates(["cls"]), "texts")
-    links = cut(similar(pairs, wanted, similarity), "similar")
-    reached = components(links)
+    ends = cut(classes.select("cls", "first_id").join(ends, "cls", "left_semi"), "ends")
+    texts = own.join(_sized(ends), "cls").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "text")
+    wanted = cut(texts.dropDuplicates(["cls"]), "texts")
+    reached = components(similar(pairs, wanted, similarity))
     grouped = classes.join(reached, classes["cls"] == reached["node"], "left").select("cls", F.coalesce("root", "cls").alias("group"), "first_id", "n", F.col("root").isNotNull().alias("linked"))
     grouped = grouped.where("linked or n > 1")
     least = grouped.groupBy("group").agg(F.min("first_id").alias("keeper"))
@@ -221,7 +235,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     found = groups(docs, similarity).select(F.col("cls").alias("_cls"), F.col("group").alias("_group"), F.col("keeper").alias("_keeper"))
     own = docs.toDF(*columns)
     text, ident = columns[docs.columns.index("text")], columns[docs.columns.index("doc_id")]
-    own = own.withColumn("_cls", class_id(F.col(text))).join(found, "_cls", "left")
+    own = own.withColumn("_cls", class_id(F.col(text))).join(_sized(found), "_cls", "left")
     single = own.where("_group is null").select(*columns)
     kept = own.where(F.col("_group").isNotNull() & F.col(ident).eqNullSafe(F.col("_keeper"))).dropDuplicates(["_group"]).select(*columns)
     return single.unionByName(kept).toDF(*docs.columns)

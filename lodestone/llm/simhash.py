@@ -5,25 +5,19 @@ links between fingerprints that differ in few bits, connected components.
 Fingerprints are made distinct first, so groups of equal texts cost one row.
 A fingerprint within the budget of another agrees with it in one of budget + 1
 blocks of bits: for each block the fingerprints are rotated so that it leads,
-dealt out by its value, and joined below that node of the trie. Within a task
+dealt out by its value, and joined below that node of the trie; a node with
+very many is dealt out further, by pairs of nodes below it. Within a task
 only a spanning forest of the links is passed on, so a dense group gives no
 more rows than it has members.
 
-near_duplicates() adds what a similarity threshold on shingle sets needs:
-several independent fingerprints (as many as reach RECALL at the threshold,
-as long as keep chance partners of a row below one), the same trie join, and
-an exact check of the linked pairs' shingle sets.
-
 Defined cases: a null text counts as empty; a text without words has
 fingerprint zero, linked like any other; a null doc_id is kept as a row and
 never names a component unless all its members' ids are null; repeated rows
-each give a row; other columns are ignored by component_table() and kept by
-drop_near_duplicates().
+each give a row; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,10 +31,8 @@ from lodestone.llm.trie import forest, self_join
 
 #: Of the contract: words in a shingle, seed of the hash, bits that linked fingerprints may differ in.
 WORDS, SEED, BITS, BUDGET = 3, 42, 64, 2
-#: Of similarity joins: words in a shingle, least Jaccard similarity, share of such pairs that the fingerprints must bring together.
-JOIN_WORDS, SIMILARITY, RECALL, JOIN_BUDGET = 5, 0.8, 0.995, 3
-#: Rows gathered before the groups among them are joined.
-GATHER = 1 << 20
+#: Rows gathered before the groups among them are joined; rows of a group from which it is dealt out further, by so many bits.
+GATHER, HOT, SUB = 1 << 20, 1 << 18, 8
 _FULL = (1 << 64) - 1
 
 
@@ -150,6 +142,31 @@ def joined(rows: DataFrame, bits: int, budget: int, extra: list[str], links: Cal
     return map_batches(ordered, join, "u long, v long")
 
 
+def split_hot(rows: DataFrame, budget: int) -> DataFrame:
+    """rows (key, sub, ...) without `sub`, the SUB bits below the block; groups of over HOT rows are dealt out further.
+
+    Two linked fingerprints differ in `budget` of these bits at most, so a hot
+    group becomes a group for each pair of values that do, and every row goes
+    to those of its value. Pairs within one value are met more than once.
+    """
+    counts = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), "hot")
+    n = counts.count()
+    if not n:
+        return rows.drop("sub")
+    marks = counts.withColumn("hot", F.lit(True))
+    marked = rows.join(F.broadcast(marks) if n <= 1_000_000 else marks, "key", "left")
+    masks = F.array(*[F.lit(m) for m in range(1 << SUB) if m.bit_count() <= budget])
+    other = F.col("sub").bitwiseXOR(F.col("mask"))
+    pair = F.least("sub", other) * (1 << SUB) + F.greatest("sub", other) + 1
+    warm = marked.where("hot").withColumn("mask", F.explode(masks)).withColumn("key", F.shiftleft(pair.cast("long"), 44) + F.col("key"))
+    return marked.where("hot is null").drop("hot", "sub").unionByName(warm.drop("hot", "sub", "mask"))
+
+
+def sub_bits(turned: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """The SUB bits below the leading block."""
+    return ((turned >> np.uint64(bits - width - SUB)) & np.uint64((1 << SUB) - 1)).astype(np.int32)
+
+
 def _spanning(part: dict, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """A spanning forest of the pairs, kept small while they come."""
     i = j = np.zeros(0, np.int64)
@@ -173,9 +190,10 @@ def component_table(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -
         for batch in batches:
             node = batch.column(0).to_numpy()
             for k, value, turned in dealt(node.view(np.uint64), BITS, budget):
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(value) * (budget + 1) + k), pa.array(np.full(len(node), k, np.int32)), pa.array(_signed(turned)), pa.array(node)], ["key", "block", "fp", "node"])
+                sub = sub_bits(turned, BITS, block_bounds(BITS, budget + 1)[k][1])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(value) * (budget + 1) + k), pa.array(np.full(len(node), k, np.int32)), pa.array(_signed(turned)), pa.array(node), pa.array(sub)], ["key", "block", "fp", "node", "sub"])
 
-    rows = map_batches(classes.select("fp"), deal, "key long, block int, fp long, node long")
+    rows = split_hot(map_batches(classes.select("fp"), deal, "key long, block int, fp long, node long, sub int"), budget)
     reached = cut(components(joined(rows, BITS, budget, [], _spanning)), "components")
     named = reached.join(classes, reached["node"] == classes["fp"])
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
