@@ -37,21 +37,26 @@ MAGIC = b"LDTK0001"
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of some ranks."""
+def pack(ranks: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of documents of the given sizes; each document's control bytes are its own."""
     ranks = ranks.astype("<u4")
     codes = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= codes[:, None]]
-    four = np.append(codes, np.zeros(-len(codes) % 4, np.uint8)).reshape(-1, 4)
-    return (four << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes(), data.tobytes()
+    slots = np.zeros(4 * int((-(-sizes // 4)).sum()), np.uint8)
+    slots[_slots(sizes)] = codes
+    return (slots.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes(), data.tobytes()
 
 
-def unpack(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Ranks of documents of the given sizes; each document's control bytes are its own."""
+def _slots(sizes: np.ndarray) -> np.ndarray:
+    """Each rank's place among the two-bit codes, where a document's codes fill whole bytes."""
     per = -(-sizes // 4)
     first = 4 * (np.cumsum(per) - per)
-    at = np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-    lengths = LENGTHS[control].ravel()[at]
+    return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+
+
+def unpack(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ranks of documents of the given sizes; each document's control bytes are its own."""
+    lengths = LENGTHS[control].ravel()[_slots(sizes)]
     starts = np.cumsum(lengths) - lengths
     data = np.append(data, np.zeros(4, np.uint8))
     out = data[starts].astype(np.uint32)
@@ -165,10 +170,10 @@ def rank_table(ids: DataFrame, size: int) -> np.ndarray:
     return np.argsort(-total, kind="stable").astype(np.uint32)
 
 
-def _blob(part: int, index: int, docs: list[tuple[int | None, int, bytes, bytes]]) -> bytes:
-    control, data = b"".join(d[2] for d in docs), b"".join(d[3] for d in docs)
+def _blob(part: int, index: int, docs: list[int | None], sizes: list[int], ranks: np.ndarray) -> bytes:
+    control, data = pack(ranks, np.array(sizes, np.int64))
     head = struct.pack("<8sqqqqq", MAGIC, part, index, len(docs), len(control), len(data))
-    table = np.array([0 if d[0] is None else d[0] for d in docs], "<i8").tobytes() + np.array([d[1] for d in docs], "<i8").tobytes() + bytes(d[0] is None for d in docs)
+    table = np.array([0 if d is None else d for d in docs], "<i8").tobytes() + np.array(sizes, "<i8").tobytes() + bytes(d is None for d in docs)
     return head + table + control + data + b"\0"
 
 
@@ -181,17 +186,23 @@ def write(ids: DataFrame, path: str, order: np.ndarray, width: int) -> None:
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, at, index, held, room = shared.value, None, 0, [], 0
+
+        def out() -> pa.RecordBatch:
+            docs, raw = zip(*held, strict=True)
+            made = _blob(at, index, docs, [len(r) // width for r in raw], rank[np.frombuffer(b"".join(raw), kind)])
+            return pa.RecordBatch.from_pydict({"value": pa.array([made], pa.binary())})
+
         for batch in batches:
             for where, doc, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if held and (where != at or room >= FILE_BYTES):
-                    yield pa.RecordBatch.from_pydict({"value": pa.array([_blob(at, index, held)], pa.binary())})
+                    yield out()
                     index, held, room = index + 1, [], 0
                 if where != at:
                     at, index = where, 0
-                held.append((doc, len(raw) // width, *pack(rank[np.frombuffer(raw, kind)])))
-                room += len(held[-1][2]) + len(held[-1][3]) + 17
+                held.append((doc, raw))
+                room += len(raw) * 4 // 5 + 17  # two bytes an id become about 1.6
         if held:
-            yield pa.RecordBatch.from_pydict({"value": pa.array([_blob(at, index, held)], pa.binary())})
+            yield out()
 
     placed = ids.select("range", "doc_id", "ids").repartition("range").sortWithinPartitions("range", "doc_id", "ids")
     write_blobs(map_batches(placed, files, "value binary"), f"{path}/files")
@@ -224,16 +235,8 @@ def read(spark: SparkSession, path: str, order: np.ndarray, columns: str, result
                 made = zip(*(result(ids[b - n : b]) for b, n in zip(ends, sizes, strict=True)), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(docs), pa.int64()), pa.array([index] * len(docs), pa.int64()), pa.array(docs, pa.int64()), pa.array(ends - sizes), pa.array(sizes), *(pa.array(list(m), t) for m, t in zip(made, kinds, strict=True))], ["part", "index", "doc_id", "within", "n_tokens", *names])
 
-    rows = map_batches(read_blobs(spark, f"{path}/files").select("content"), run, f"part long, index long, doc_id long, within long, n_tokens long, {columns}")
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                content = batch.column(0)[k].as_py()
-                _, part, index, n, _, _ = struct.unpack_from("<8sqqqqq", content)
-                yield pa.RecordBatch.from_pydict({"part": [part], "index": [index], "n": [int(np.frombuffer(content, "<i8", n, 48 + 8 * n).sum())]})
-
-    sums = map_batches(read_blobs(spark, f"{path}/files").select("content"), total, "part long, index long, n long")
+    rows = cut(map_batches(read_blobs(spark, f"{path}/files").select("content"), run, f"part long, index long, doc_id long, within long, n_tokens long, {columns}"), "decoded")
+    sums = rows.groupBy("part", "index").agg(F.max(F.col("within") + F.col("n_tokens")).alias("n"))
     before = sums.select("part", "index", (F.sum("n").over(Window.orderBy("part", "index")) - F.col("n")).alias("before"))  # one row a file
     return rows.join(before, ["part", "index"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", *names)
 
