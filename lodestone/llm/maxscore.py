@@ -30,8 +30,8 @@ from lodestone.llm.common import cut, map_batches, tune
 
 #: Of the contract: scale of a component, results of a query, which ids are queries.
 SCALE, K, EVERY = 1024, 10, 100
-#: Vectors of a group (one task's memory), vectors of a shard, queries read at once, non-essential terms probed at once.
-GROUP, SHARD, QUERIES, PROBE = 1 << 15, 1 << 12, 256, 8
+#: Vectors of WIDTH components in a group (one task's memory), vectors of a shard, queries read at once, non-essential terms probed at once.
+GROUP, WIDTH, SHARD, QUERIES, PROBE = 1 << 15, 64, 1 << 12, 256, 8
 
 
 def integer_vectors(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -91,7 +91,7 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     tune(rows.sparkSession)
     vectors = cut(integer_vectors(rows), "vectors")
     n, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    groups = 1 + n // GROUP
+    groups = 1 + n * width // (GROUP * WIDTH)
     smallest = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = smallest.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("kind"), "vec_id", "v")
     dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), "vec_id", "v").unionByName(queries)

@@ -98,7 +98,7 @@ def test_search_odd_vectors(spark):
 def test_search_over_many_groups_and_shards(spark, monkeypatch):
     rng = np.random.default_rng(5)
     v = rng.integers(-8, 9, (700, 4))
-    monkeypatch.setattr(maxscore, "GROUP", 150)
+    monkeypatch.setattr(maxscore, "GROUP", 10)
     df = spark.createDataFrame([(i, (x / 1024).tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     got = {}
     for r in maxscore.top_k(df).orderBy("query_id", "rank").collect():
