@@ -22,13 +22,14 @@ by drop_leaks().
 from __future__ import annotations
 
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_batches, tune, utf8
+from lodestone.llm.common import map_batches, tune
 
 #: Fixed masks: 1 is compared, 0 ignored.
 MASKS = ("1111011011", "1101101111", "1011110111", "1110111101")
@@ -40,9 +41,9 @@ BLOCK_TOKENS = 2_000_000
 _BITS = 22
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    """Lower-cased words without the punctuation at their ends."""
-    return [w for w in (x.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for x in text.lower().split()) if w]
+def tokens_of(text: str) -> list[str]:
+    """Lower-cased words, in any alphabet, without the punctuation at their ends."""
+    return [w for w in (x.strip(punctuation) for x in text.lower().split()) if w]
 
 
 def _offsets(mask: str) -> np.ndarray:
@@ -66,8 +67,8 @@ def _hashes(ids: np.ndarray, offsets: np.ndarray, span: int) -> np.ndarray:
 class Index:
     """All masked windows of some items."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
-        self.words: dict[bytes, int] = {}
+    def __init__(self, items: list[tuple[int, str]]):
+        self.words: dict[str, int] = {}
         self.items, self.names = [], []
         self.exact: dict[int, dict[tuple, list[int]]] = {}
         span = len(MASKS[0])
@@ -92,7 +93,7 @@ class Index:
             bits[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
             self.seeds.append((keys[order], which[order], at[order].astype(np.int64), bits))
 
-    def find(self, text: bytes) -> dict[int, tuple[int, int, int]]:
+    def find(self, text: str) -> dict[int, tuple[int, int, int]]:
         """item_id to the longest overlap: first token in the document, tokens, equal tokens."""
         own = tokens_of(text)
         get = self.words.get
@@ -148,12 +149,12 @@ class Index:
 
 def _passes(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes of bounded parts of the benchmark."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] / 5
     parts = 1 + int(total // BLOCK_TOKENS)
     for k in range(parts):
         part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield Index(sorted((r[0], bytes(r[1])) for r in part.collect()))  # BLOCK_TOKENS tokens, about
+        yield Index(sorted((r[0], r[1]) for r in part.collect()))  # BLOCK_TOKENS tokens, about
 
 
 LEAK = "array<struct<item_id:long,first_token:long,tokens:long,equal_tokens:long>>"
@@ -172,7 +173,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text")
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                made = [[{"item_id": k, "first_token": a, "tokens": n, "equal_tokens": e} for k, (a, n, e) in sorted(index.find(t).items())] for t in utf8(batch.column(at))]
+                made = [[{"item_id": k, "first_token": a, "tokens": n, "equal_tokens": e} for k, (a, n, e) in sorted(index.find(t or "").items())] for t in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], [*names, "_leaks", "_new"])
 
         schema = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True))

@@ -329,8 +329,8 @@ def test_pipeline_against_its_stages_by_brute_force(spark):
     sets = [set(nearcopies.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
     alike = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     rows = [rows[k] for k in sorted(set(grouped(len(rows), alike)))]
-    index = decontaminate.Index([(r.item_id, r.text.encode()) for r in table(spark, SMALL, "benchmark").collect()])
-    rows = [(k, t) for k, t in rows if not index.find(t.encode())]
+    index = decontaminate.Index([(r.item_id, r.text) for r in table(spark, SMALL, "benchmark").collect()])
+    rows = [(k, t) for k, t in rows if not index.find(t)]
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocabulary_path())
