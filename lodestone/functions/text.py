@@ -26,11 +26,12 @@ TEMPLATES = (
     "Given a question, find the most relevant document: {q}",
 )
 
-WORD = r"[\p{L}\p{N}_]{2,}"
+BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 
 
-def stop_words() -> Column:
-    return F.array(*map(F.lit, STOP_WORDS))
+def is_stop_word(term: Column) -> Column:
+    """A look-up in a hash set."""
+    return term.isin(*STOP_WORDS)
 
 
 def content_hash(text: Column) -> Column:
@@ -91,13 +92,13 @@ def blank_tokens(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased words of two characters or more."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) >= 2)
+    return F.filter(F.split(F.lower(text), BETWEEN_WORDS), lambda t: F.length(t) >= 2)
 
 
 def query_terms(question: Column, most: int = 20, fallback: int = 10) -> Column:
     """Up to `most` meaningful terms; the first raw ones where nothing is meaningful."""
     raw = blank_tokens(question)
-    kept = F.filter(raw, lambda t: ~F.array_contains(stop_words(), t) & (F.length(t) > 2))
+    kept = F.filter(raw, lambda t: (F.length(t) > 2) & ~is_stop_word(t))
     return F.when(F.size(kept) > 0, F.slice(kept, 1, most)).otherwise(F.slice(raw, 1, fallback))
 
 

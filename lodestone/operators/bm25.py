@@ -21,7 +21,7 @@ def tokenised(docs: DataFrame, tokens: Column, ident: str = "doc_id") -> DataFra
 
 
 def full_tokens(text: Column) -> Column:
-    return F.filter(tx.words(text), lambda t: ~F.array_contains(tx.stop_words(), t))
+    return F.filter(F.split(F.lower(text), tx.BETWEEN_WORDS), lambda t: (F.length(t) >= 2) & ~tx.is_stop_word(t))
 
 
 def postings(docs: DataFrame) -> DataFrame:

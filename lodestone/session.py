@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that results depend on; the rest is the cluster's business.
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
@@ -27,3 +27,9 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(to))
         _shipped.add(app)
     return spark
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores if their files give fewer partitions than there are cores (a small table in one row group); else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
