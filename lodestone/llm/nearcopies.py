@@ -10,7 +10,9 @@ Pairs whose further bits are far apart are dropped at once, all others are
 checked on their exact shingle sets. In a dense group, of more than DENSE
 pairs a member, a task passes on each member's nearest pairs and a minimum
 spanning forest instead of all pairs; every block of every word does so anew,
-by bits of its own.
+by bits of its own. The forest keeps the group known: where the checked pairs
+leave it in several parts, every pair of different parts is checked as well,
+in cells of bounded size, so no pair that was brought together goes unchecked.
 
 The plan depends on the number of documents by this rule alone.
 
@@ -38,6 +40,8 @@ from lodestone.llm.trie import forest, self_join
 WORDS, SIMILARITY, RECALL, BUDGET = 5, 0.8, 0.99, 3
 #: Pairs a member above which a group is dense; nearest pairs of a member that are passed on then; rows gathered before they are joined.
 DENSE, NEAREST, GATHER = 2, 2, 1 << 18
+#: Members of a dense group on one side of a cell, shingles compared at once there.
+CELL, SHINGLES = 256, 1 << 12
 #: Rows of three longs up to which a stored table is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Further bits that two texts at the threshold differ in: the mean and so many standard deviations.
@@ -82,8 +86,8 @@ def sketch(text: bytes, words: int) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").reshape(words, 8).copy().view(np.uint64).ravel()
 
 
-def _pick(i: np.ndarray, j: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the pairs to pass on: all of a sparse group, of a dense one the nearest and a minimum spanning forest."""
+def _dense(i: np.ndarray, j: np.ndarray, apart: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a minimum spanning forest, and which pairs are of a dense group."""
     tree = forest(n, i, j, apart)
     label = np.arange(n)
     for _ in range(64):  # smallest member of each group, over the forest
@@ -96,7 +100,12 @@ def _pick(i: np.ndarray, j: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray
             break
     pairs = np.bincount(label[i], minlength=n)
     members = np.bincount(label, minlength=n)
-    dense = (pairs > DENSE * members)[label[i]]
+    return tree, (pairs > DENSE * members)[label[i]]
+
+
+def _pick(i: np.ndarray, j: np.ndarray, apart: np.ndarray, n: int, found: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Positions of the pairs to pass on: all of a sparse group, of a dense one the nearest and a minimum spanning forest."""
+    tree, dense = found or _dense(i, j, apart, n)
     if not dense.any():
         return np.arange(len(i))
     keep = ~dense
@@ -111,7 +120,7 @@ def _pick(i: np.ndarray, j: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray
 
 
 def candidates(classes: DataFrame, bits: int, words: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(u, v) of classes (cls, sketch) that are to be checked."""
+    """(u, v, thin) of classes (cls, sketch) that are to be checked; pairs left out are joined by a chain of thin ones."""
     blocks = BUDGET + 1
     bounds = block_bounds(bits, blocks)
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -146,20 +155,24 @@ def candidates(classes: DataFrame, bits: int, words: int, similarity: float = SI
                 high, more = rows[1].view(np.uint64) & ~low, rows[2].view(np.uint64)
                 kept: list[tuple[np.ndarray, ...]] = []
                 room = 0
+
+                def picked(kept: list[tuple[np.ndarray, ...]], n: int = len(fps)) -> tuple[np.ndarray, ...]:
+                    i, j, apart, thin = map(np.concatenate, zip(*kept, strict=True))
+                    found = _dense(i, j, apart, n)
+                    at = _pick(i, j, apart, n, found)
+                    return i[at], j[at], apart[at], (thin | found[1])[at]
+
                 for i, j in self_join(fps, lo, hi, bits - 1 - width, BUDGET, np.tile(differ, (len(fps), 1)) if k else None):
                     apart = np.bitwise_count(high[i] ^ high[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])
                     ok = apart <= most
-                    kept.append((i[ok], j[ok], apart[ok]))
+                    kept.append((i[ok], j[ok], apart[ok], np.zeros(int(ok.sum()), bool)))
                     room += int(ok.sum())
                     if room > 8 * len(fps) + GATHER:
-                        i, j, apart = map(np.concatenate, zip(*kept, strict=True))
-                        at = _pick(i, j, apart, len(fps))
-                        kept, room = [(i[at], j[at], apart[at])], 0
+                        kept, room = [picked(kept)], 0
                 if kept:
-                    i, j, apart = map(np.concatenate, zip(*kept, strict=True))
-                    at = _pick(i, j, apart, len(fps))
-                    u, v = rows[3][i[at]], rows[3][j[at]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+                    i, j, _, thin = picked(kept)
+                    u, v = rows[3][i], rows[3][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(thin)], ["u", "v", "thin"])
 
         held = np.zeros((4, 0), np.int64)
         for batch in batches:
@@ -171,7 +184,7 @@ def candidates(classes: DataFrame, bits: int, words: int, similarity: float = SI
         yield from done(held)
 
     rows = split_hot(map_batches(classes.select("cls", "sketch"), deal, "key long, word long, more long, cls long, sub int"), BUDGET)
-    return map_batches(rows.repartition("key").sortWithinPartitions("key"), join, "u long, v long").distinct()
+    return map_batches(rows.repartition("key").sortWithinPartitions("key"), join, "u long, v long, thin boolean").groupBy("u", "v").agg(F.max("thin").alias("thin"))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -194,6 +207,77 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), check, "u long, v long")
 
 
+def _alike(asking: list[np.ndarray], others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which shingle sets of the first list are similar to which of the second."""
+    both = np.zeros((len(asking), len(others)))
+    sides = []
+    for sets in (asking, others):
+        sides.append((np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    for a in range(0, len(shared), SHINGLES):
+        part = shared[a : a + SHINGLES]
+        holds = []
+        for (flat, row), sets in zip(sides, (asking, others), strict=True):
+            column = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            here = part[column] == flat
+            matrix = np.zeros((len(sets), len(part)), np.float32)
+            matrix[row[here], column[here]] = 1
+            holds.append(matrix)
+        both += holds[0] @ holds[1].T
+    either = np.array([len(x) for x in asking])[:, None] + np.array([len(x) for x in others]) - both
+    return both >= similarity * either
+
+
+def across(pairs: DataFrame, links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between the parts that `links` leave a dense group in: all pairs of different parts are checked.
+
+    The members outside a group's largest part meet all members, in cells of
+    CELL by CELL dealt out by hash. A cell passes on a spanning forest of the
+    parts that it found similar.
+    """
+    group = components(pairs.where("thin").select("u", "v")).toDF("cls", "dense")
+    part = components(links).toDF("cls", "part")
+    members = cut(group.join(part, "cls", "left").select("cls", "dense", F.coalesce("part", "cls").alias("part")), "members")
+    sizes = members.groupBy("dense", "part").agg(F.count("*").alias("n")).groupBy("dense")
+    sizes = sizes.agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("most")).where("parts > 1")
+    sides = [F.ceil(n / CELL).cast("int").alias(side) for n, side in ((F.col("n") - F.col("most.n"), "rows"), (F.col("n"), "columns"))]
+    open_groups = cut(sizes.select("dense", F.col("most.part").alias("largest"), *sides), "open")
+    members = members.join(_sized(open_groups), "dense")
+    place = lambda side: F.pmod(F.xxhash64("cls"), F.col(side)).cast("int")
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.col(side) - 1))
+    asking = members.where("part <> largest").select("dense", place("rows").alias("row"), every("columns").alias("column"), F.lit(True).alias("asks"), "cls", "part")
+    asked = members.select("dense", every("rows").alias("row"), place("columns").alias("column"), F.lit(False).alias("asks"), "cls", "part")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sides = None, ([], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            (mine, others) = sides
+            if not mine or not others:
+                return
+            i, j = np.nonzero(_alike([x[2] for x in mine], [x[2] for x in others], similarity))
+            names, label = np.unique([x[1] for x in (*mine, *others)], return_inverse=True)
+            i, j = i, j + len(mine)
+            new = label[i] != label[j]
+            i, j = i[new], j[new]
+            at = forest(len(names), label[i], label[j], np.zeros(len(i)))
+            cls = np.array([x[0] for x in (*mine, *others)], np.int64)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(cls[i[at]]), pa.array(cls[j[at]])], ["u", "v"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            for key, asks, cls, part, text in zip(keys, *(batch.column(k).to_pylist() for k in range(3, 6)), utf8(batch.column(6)), strict=True):
+                if key != cell:
+                    yield from done()
+                    cell, sides = key, ([], [])
+                sides[0 if asks else 1].append((cls, part, np.unique(shingle_hashes(text, WORDS))))
+        yield from done()
+
+    rows = asking.unionByName(asked).join(texts, "cls").select("dense", "row", "column", "asks", "cls", "part", "text")
+    return map_batches(rows.repartition("dense", "row", "column").sortWithinPartitions("dense", "row", "column"), check, "u long, v long")
+
+
 def _sized(stored: DataFrame) -> DataFrame:
     """A stored table of few narrow columns, broadcast if its rows are counted to be few."""
     return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
@@ -222,7 +306,10 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ends = cut(classes.select("cls", "first_id").join(ends, "cls", "left_semi"), "ends")
     texts = own.join(_sized(ends), "cls").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "text")
     wanted = cut(texts.dropDuplicates(["cls"]), "texts")
-    reached = components(similar(pairs, wanted, similarity))
+    links = cut(similar(pairs.select("u", "v"), wanted, similarity), "similar")
+    if pairs.where("thin").limit(1).count():
+        links = links.unionByName(across(pairs, links, wanted, similarity))
+    reached = components(links)
     grouped = classes.join(reached, classes["cls"] == reached["node"], "left").select("cls", F.coalesce("root", "cls").alias("group"), "first_id", "n", F.col("root").isNotNull().alias("linked"))
     grouped = grouped.where("linked or n > 1")
     least = grouped.groupBy("group").agg(F.min("first_id").alias("keeper"))

@@ -247,6 +247,18 @@ def test_near_copies_against_brute_force(spark):
     assert sorted(r.doc_id for r in nearcopies.drop_near_duplicates(docs).collect()) == sorted(set(grouped(len(texts), alike)))
 
 
+def test_copies_that_resemble_one_text_alone_stay_one_group(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(304)]
+    texts = [" ".join(words)]
+    for c in range(400):
+        at = set((np.arange(6) * 49 + 5 + rng.integers(0, 40, 6)).tolist())
+        texts.append(" ".join(f"e{c}x{k}" if k in at else w for k, w in enumerate(words)))
+    monkeypatch.setattr(nearcopies, "CELL", 64, raising=False)  # several cells
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in nearcopies.drop_near_duplicates(docs).collect()] == [0]
+
+
 def test_a_dense_group_gives_few_pairs():
     n = 400
     i, j = np.triu_indices(n, 1)
