@@ -3,11 +3,11 @@
 A mask is a fixed window of token positions, some of them ignored, so a window
 still hits when a token at an ignored position was replaced. The masked
 windows of all benchmark items are hashed; every window of every document is
-looked up, first in a bit table and then exactly. Around each hit the
-document is laid along the item, token by token without gaps, and the overlap
-is extended both ways while few tokens differ. An overlap of at least MATCHED
-equal tokens, IDENTITY of those it spans, is a leak, and so is any exact copy
-of a whole item that is shorter than the masks (SHORTEST tokens at least).
+looked up, first in a bit table and then exactly. At each hit the document is
+laid along the item, token by token without gaps. Any stretch there of at
+least MATCHED equal tokens, IDENTITY of those it spans, is a leak, whatever
+lies beside it; GIVE_UP tokens in a row that differ end a stretch. So is any
+exact copy of a whole item of fewer than MATCHED tokens (SHORTEST at least).
 
 The look-up table of one pass is bounded: items beyond BLOCK_TOKENS tokens are
 dealt over several passes, each over all documents.
@@ -115,16 +115,18 @@ class Index:
         if diagonals:
             hits = np.concatenate(diagonals, axis=1)
             order = np.lexsort(hits[::-1])
-            done: tuple[int, int, int] = (-1, 0, 0)
-            for item, shift, place in hits[:, order].T.tolist():
-                if (item, shift) == done[:2] and place < done[2]:
-                    continue  # within the overlap that an earlier hit gave
-                first, size, equal = self._extend(ids, self.items[item], shift, place)
-                done = (item, shift, first + size)
-                if equal >= min(MATCHED, len(self.items[item])) and equal >= IDENTITY * size:
+            before = (-1, 0)
+            for item, shift, _ in hits[:, order].T.tolist():
+                if (item, shift) == before:
+                    continue
+                before = (item, shift)
+                own_item = self.items[item]
+                lo, hi = max(0, shift), min(len(ids), shift + len(own_item))
+                leak = self._overlap(ids[lo:hi] == own_item[lo - shift : hi - shift])
+                if leak:
                     name = self.names[item]
-                    if name not in found or equal > found[name][2]:
-                        found[name] = (first, size, equal)
+                    if name not in found or leak[2] > found[name][2]:
+                        found[name] = (lo + leak[0], *leak[1:])
         for size, wanted in self.exact.items():
             heads = {w[0] for w in wanted}
             for a in np.flatnonzero(ids[: max(0, len(ids) - size + 1)]).tolist():
@@ -134,17 +136,24 @@ class Index:
         return found
 
     @staticmethod
-    def _extend(ids: np.ndarray, item: np.ndarray, shift: int, place: int) -> tuple[int, int, int]:
-        """The overlap on one diagonal around a hit: grows until GIVE_UP tokens in a row differ, then sheds what differs at its ends."""
-        lo, hi = max(0, shift), min(len(ids), shift + len(item))
-        same = ids[lo:hi] == item[lo - shift : hi - shift]
-        at = place - lo
+    def _overlap(same: np.ndarray) -> tuple[int, int, int] | None:
+        """The stretch with the most equal tokens of one diagonal that is a leak: first, tokens, equal tokens.
+
+        GIVE_UP tokens in a row that differ end a stretch; within, every pair of ends counts.
+        """
+        best = None
         equal = np.flatnonzero(same)
-        apart = np.flatnonzero(np.diff(equal) > GIVE_UP)
-        run = int(np.searchsorted(equal[apart], at)) if len(apart) else 0
-        a = equal[apart[run - 1] + 1] if run else equal[0]
-        b = equal[apart[run]] if run < len(apart) else equal[-1]
-        return lo + int(a), int(b - a + 1), int(same[a : b + 1].sum())
+        for at in np.split(equal, np.flatnonzero(np.diff(equal) > GIVE_UP) + 1):
+            if len(at) < max(MATCHED, best[2] + 1 if best else 0):
+                continue
+            # tokens p to q are a leak if q + 1 - p >= IDENTITY * (at[q] + 1 - at[p]): worth[p] <= worth[q] + 1 - IDENTITY
+            worth = np.arange(len(at)) - IDENTITY * at
+            first = np.searchsorted(-np.minimum.accumulate(worth), -worth - (1 - IDENTITY) - 1e-9)
+            size = np.arange(len(at)) + 1 - first
+            q = int(size.argmax())
+            if size[q] >= max(MATCHED, best[2] + 1 if best else 0):
+                best = int(at[first[q]]), int(at[q] - at[first[q]] + 1), int(size[q])
+        return best
 
 
 def _passes(benchmark: DataFrame) -> Iterator[Index]:

@@ -153,6 +153,28 @@ def test_substitutions_are_tolerated():
     assert leaks_of(" ".join(words[:12]), ITEM) == {} and leaks_of(" ".join(reversed(words)), ITEM) == {}
 
 
+def test_chance_equal_words_beside_a_passage_hide_nothing():
+    item = [f"w{k}" for k in range(40)]
+    text = [f"n{k}" for k in range(40)]
+    text[14:27] = item[14:27]
+    for k in (10, 30):
+        item[k] = text[k] = "the"
+    assert leaks_of(" ".join(text), " ".join(item)) == {0: (10, 17, 14)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([True, True, True, False]), max_size=60))
+def test_the_best_stretch_of_a_diagonal_is_that_of_brute_force(same):
+    best = 0
+    for a in range(len(same)):
+        for b in range(a, len(same)):
+            part = same[a : b + 1]
+            if sum(part) >= decontaminate.MATCHED and 5 * sum(part) >= 4 * len(part) and "0" * decontaminate.GIVE_UP not in "".join("01"[x] for x in part):
+                best = max(best, sum(part))
+    got = decontaminate.Index._overlap(np.array(same, bool))
+    assert (got[2] if got else 0) == best and (got is None or sum(same[got[0] : got[0] + got[1]]) == got[2] >= 0.8 * got[1])
+
+
 def test_case_is_ignored_in_any_alphabet():
     item = " ".join(f"été{k} ñu{k}" for k in range(10))
     assert leaks_of(item.upper(), item)[0] == (0, 20, 20)
