@@ -1,13 +1,16 @@
-"""Benchmark decontamination by spaced seeds.
-
-A mask is a fixed window of token positions, some of them ignored, so a window
-still hits when a token at an ignored position was replaced. The masked
-windows of all benchmark items are hashed; every window of every document is
-looked up, first in a bit table and then exactly. At each hit the document is
-laid along the item, token by token without gaps. Any stretch there of at
-least MATCHED equal tokens, IDENTITY of those it spans, is a leak, whatever
-lies beside it; GIVE_UP tokens in a row that differ end a stretch. So is any
-exact copy of a whole item of fewer than MATCHED tokens (SHORTEST at least).
+"""Benchmark decontamination by seeds that miss no leak.
+
+A mask is a fixed window of token positions, some of which may be ignored. An
+overlap of e equal tokens at 80 % has e / 4 others at most, so e / 4 + 1 runs
+of equal tokens; for e of 13 or more these have over 3 on average, so one has
+4, and windows of 4 equal tokens meet every leak. The masked windows of all
+benchmark items are hashed; every window of every document is looked up, first
+in a bit table and then exactly. At each hit the document is laid along the
+item, token by token without gaps, and diagonals of fewer than MATCHED equal
+tokens are left. Any stretch there of at least MATCHED equal tokens, IDENTITY
+of those it spans, is a leak, whatever lies beside it; GIVE_UP tokens in a row
+that differ end a stretch. So is any exact copy of a whole item of fewer than
+MATCHED tokens (SHORTEST at least).
 
 The look-up table of one pass is bounded: items beyond BLOCK_TOKENS tokens are
 dealt over several passes, each over all documents.
@@ -32,12 +35,14 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import map_batches, tune
 
 #: Fixed masks: 1 is compared, 0 ignored.
-MASKS = ("1111011011", "1101101111", "1011110111", "1110111101")
+MASKS = ("1111",)
 #: Least equal tokens of an overlap, least share of equal tokens in it, tokens that differ in a row and end it.
 MATCHED, IDENTITY, GIVE_UP = 13, 0.8, 4
 SHORTEST = 5
 #: Benchmark tokens of one pass.
 BLOCK_TOKENS = 2_000_000
+#: Hits, and tokens along their diagonals, that are held at once.
+HELD = 1 << 20
 _BITS = 22
 
 
@@ -64,6 +69,15 @@ def _hashes(ids: np.ndarray, offsets: np.ndarray, span: int) -> np.ndarray:
     return np.where(ok, out | np.uint64(1), np.uint64(0))
 
 
+def _parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about HELD in sum, one size at least."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, HELD + (ends[a - 1] if a else 0), "right")))
+        yield a, b
+        a = b
+
+
 class Index:
     """All masked windows of some items."""
 
@@ -82,6 +96,9 @@ class Index:
                 continue
             self.items.append(ids)
             self.names.append(name)
+        self.sizes = np.array([len(x) for x in self.items], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([np.zeros(0, np.int64), *self.items])
         self.seeds = []
         for k, mask in enumerate(MASKS):
             made = [_hashes(ids, _offsets(mask), span) for ids in self.items]
@@ -101,32 +118,14 @@ class Index:
         if not ids.any():
             return {}
         found: dict[int, tuple[int, int, int]] = {}
-        span, diagonals = len(MASKS[0]), []
-        for mask, (keys, which, at, bits) in zip(MASKS, self.seeds, strict=True):
-            if not len(keys):
-                continue
-            mine = _hashes(ids, _offsets(mask), span)
-            live = np.flatnonzero(bits[(mine >> np.uint64(64 - _BITS)).astype(np.int64)] & (mine > 0))
-            lo, hi = np.searchsorted(keys, mine[live]), np.searchsorted(keys, mine[live], "right")
-            n = hi - lo
-            place = np.repeat(live, n)
-            entry = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
-            diagonals.append(np.stack([which[entry], place - at[entry], place]))
-        if diagonals:
-            hits = np.concatenate(diagonals, axis=1)
-            order = np.lexsort(hits[::-1])
-            before = (-1, 0)
-            for item, shift, _ in hits[:, order].T.tolist():
-                if (item, shift) == before:
-                    continue
-                before = (item, shift)
-                own_item = self.items[item]
-                lo, hi = max(0, shift), min(len(ids), shift + len(own_item))
-                leak = self._overlap(ids[lo:hi] == own_item[lo - shift : hi - shift])
-                if leak:
-                    name = self.names[item]
-                    if name not in found or leak[2] > found[name][2]:
-                        found[name] = (lo + leak[0], *leak[1:])
+        for item, shift in self._diagonals(ids):
+            own_item = self.items[item]
+            lo, hi = max(0, shift), min(len(ids), shift + len(own_item))
+            leak = self._overlap(ids[lo:hi] == own_item[lo - shift : hi - shift])
+            if leak:
+                name = self.names[item]
+                if name not in found or leak[2] > found[name][2]:
+                    found[name] = (lo + leak[0], *leak[1:])
         for size, wanted in self.exact.items():
             heads = {w[0] for w in wanted}
             for a in np.flatnonzero(ids[: max(0, len(ids) - size + 1)]).tolist():
@@ -135,6 +134,34 @@ class Index:
                         found.setdefault(name, (a, size, size))
         return found
 
+    def _diagonals(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """(item, place of its first token in the document) of the diagonals that hold a hit and MATCHED equal tokens."""
+        longest = int(self.sizes.max(initial=0))
+        width, wanted = len(ids) + longest, [np.zeros(0, np.int64)]
+        for mask, (keys, which, at, bits) in zip(MASKS, self.seeds, strict=True):
+            if not len(keys):
+                continue
+            mine = _hashes(ids, _offsets(mask), len(mask))
+            live = np.flatnonzero(bits[(mine >> np.uint64(64 - _BITS)).astype(np.int64)] & (mine > 0))
+            lo, hi = np.searchsorted(keys, mine[live]), np.searchsorted(keys, mine[live], "right")
+            for a, b in _parts(hi - lo):
+                n = (hi - lo)[a:b]
+                place = np.repeat(live[a:b], n)
+                entry = np.arange(int(n.sum())) + np.repeat(lo[a:b] - (np.cumsum(n) - n), n)
+                wanted.append(np.unique(which[entry] * width + place - at[entry] + longest))
+        item, shift = np.divmod(np.unique(np.concatenate(wanted)), max(1, width))
+        shift -= longest
+        first = np.maximum(0, shift)
+        n = np.minimum(len(ids), shift + self.sizes[item]) - first
+        kept: list[tuple[int, int]] = []
+        for a, b in _parts(n):
+            begin = np.cumsum(n[a:b]) - n[a:b]
+            along = np.arange(int(n[a:b].sum())) - np.repeat(begin, n[a:b])
+            same = ids[np.repeat(first[a:b], n[a:b]) + along] == self.flat[np.repeat((self.starts[item] + first - shift)[a:b], n[a:b]) + along]
+            enough = a + np.flatnonzero(np.add.reduceat(same, begin, dtype=np.int64) >= MATCHED)
+            kept += zip(item[enough].tolist(), shift[enough].tolist(), strict=True)
+        return kept
+
     @staticmethod
     def _overlap(same: np.ndarray) -> tuple[int, int, int] | None:
         """The stretch with the most equal tokens of one diagonal that is a leak: first, tokens, equal tokens.

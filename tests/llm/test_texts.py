@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -153,6 +154,19 @@ def test_substitutions_are_tolerated():
     assert leaks_of(" ".join(words[:12]), ITEM) == {} and leaks_of(" ".join(reversed(words)), ITEM) == {}
 
 
+@pytest.mark.parametrize("size", range(14, 21))
+def test_every_replacement_pattern_that_the_rule_admits_is_found(size, monkeypatch):
+    item = [f"w{k}" for k in range(size)]
+    index = decontaminate.Index([(0, " ".join(item))])
+    monkeypatch.setattr(decontaminate, "HELD", 32, raising=False)  # several parts
+    for n in range(1, size // 5 + 1):
+        if size - n >= decontaminate.MATCHED:
+            for places in combinations(range(1, size - 1), n):
+                if "xxxx" not in (shown := "".join("x" if k in places else "." for k in range(size))):
+                    text = " ".join("zz" if k in places else w for k, w in enumerate(item))
+                    assert index.find(f"a b {text} c d") == {0: (2, size, size - n)}, shown
+
+
 def test_chance_equal_words_beside_a_passage_hide_nothing():
     item = [f"w{k}" for k in range(40)]
     text = [f"n{k}" for k in range(40)]
