@@ -66,6 +66,25 @@ def test_there_are_hundreds_of_rules_and_all_compile(spark):
         re.compile(rx)
 
 
+STATEMENTS = {
+    "released under GPL v3": "gpl-3", "distributed under the terms of the GPL version 2": "gpl-2", "Available under CC BY-SA": "cc-by-sa", "provided under the MIT": "mit", "published under\nPSF": "python", "released under ODC-BY": "odc-by",
+    "Proprietary and confidential": "proprietary", "for non-commercial use only": "non-commercial", "Permission to use, copy, modify, and distribute this software": "isc-text", "see wtfpl.net": "wtfpl", "https://mozilla.org/MPL/2.0/": "mpl-2", "eclipse.org/legal/epl-2.0": "epl-2", "eupl.eu": "eupl",
+    "all rights\nreserved": "all-rights-reserved", "in the public\ndomain": "public-domain", "without warranty of any kind": "no-warranty", "permission is\nhereby granted, free of charge, to any person": "mit-text", "copyleft": "copyleft", "released under the SIL  Open\nFont License": "ofl",
+    "understood; the domain is commercial, permission was reserved": "",
+}
+
+
+def test_every_rule_gets_past_the_gate(spark):
+    docs = spark.createDataFrame(list(enumerate(STATEMENTS)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()} == dict(enumerate(STATEMENTS.values()))
+
+
+def test_every_page_is_found(spark):
+    pages = [(k, f"see {row[-1]}.") for k, row in enumerate(licenses.LICENSES)]
+    for r in licenses.scan_licenses(spark.createDataFrame(pages, "doc_id long, text string")).collect():
+        assert licenses.LICENSES[r.doc_id][0] in r.labels.split(",")
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["under", " the ", "mit", "license", "cc", " by ", "nc", "-", "É", "\n", "apache ", "version ", "2"]), max_size=14).map("".join), min_size=1, max_size=20))
 def test_license_places_are_those_of_the_words(spark, texts):
