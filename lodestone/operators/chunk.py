@@ -229,15 +229,15 @@ def semantic_chunks(text: str, target: int = LEAF_TOKENS) -> list[tuple[int, int
     return out
 
 
-def apply(docs: DataFrame, function: Callable[[str], list], columns: str, names: list[str]) -> DataFrame:
-    """(doc_id, ...) one row for each tuple that a function of the text gives."""
+def apply(docs: DataFrame, function: Callable[[str], list], columns: str, names: list[str], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, ...) one row for each tuple that a function of the text gives."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, *r) for i, t in zip(batch["doc_id"], batch["text"].fillna(""), strict=True) for r in function(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", *names])
+            rows = [(*i, *r) for *i, t in zip(*(batch[k] for k in keys), batch["text"].fillna(""), strict=True) for r in function(t)]
+            yield pd.DataFrame(rows, columns=[*keys, *names])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, {columns}")
+    return docs.select(*keys, "text").mapInPandas(run, "".join(f"{k} long, " for k in keys) + columns)
 
 
 def sentence_table(docs: DataFrame) -> DataFrame:

@@ -34,11 +34,14 @@ def ch2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("CH3_masked_code", "SELECT conv_id, turn, CAST(1 AS BIGINT) AS pieces FROM conversations")
 def ch3(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences that hold any part of a fenced block around a turn's text: always exactly one."""
-    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat(F.lit("Before it. ```"), F.substring(F.regexp_replace("text", "`", ""), 1, 1000), F.lit("``` After it.")).alias("text"))
-    whole = rows.select("doc_id", (F.instr("text", "```") - 1).alias("a"), (F.length("text") - F.length(F.lit(" After it."))).alias("b"))
-    parts = chunk.sentence_table(rows).join(whole, "doc_id").where((F.col("start") < F.col("b")) & (F.col("end") > F.col("a")))
-    return parts.groupBy("doc_id").agg(F.count("*").alias("pieces")).select(F.expr("doc_id div 1000").alias("conv_id"), (F.col("doc_id") % 1000).alias("turn"), "pieces")
+    """Sentences that hold any part of a fenced block around a turn's whole text: one, unless the block is over chunk.LONG."""
+    turns = table(spark, d, "conversations").withColumn("text", F.concat(F.lit("Before it. ```"), F.regexp_replace(F.coalesce("text", F.lit("")), "`", ""), F.lit("``` After it.")))
+
+    def pieces(text: str) -> list[tuple[int]]:
+        start, end = text.index("```"), len(text) - len(" After it.")
+        return [(sum(a < end and b > start for a, b in chunk.sentences(text)),)]
+
+    return chunk.apply(turns, pieces, "pieces long", ["pieces"], ("conv_id", "turn"))
 
 
 @query("CH5_bounded_sentences", "SELECT doc_id, true AS bounded FROM documents WHERE text <> ''")

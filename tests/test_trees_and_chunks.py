@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunk, cluster, dense, ingest, keywords, tree
+from lodestone.plans import catalogue
 from lodestone.plans.base import stored
 
 
@@ -166,3 +167,19 @@ def test_a_failed_job_stays_failed(spark):
     rows = spark.createDataFrame([("j", 1, "pending", 0, None), ("j", 2, "failed", 3, "boom"), ("j", 3, "processing", 4, None), ("k", 1, "completed", 5, None)], "job_id string, seq long, status string, processed long, message string")
     got = {r.job_id: (r.status, r.message) for r in ingest.job_states(rows).collect()}
     assert got == {"j": ("failed", "boom"), "k": ("completed", None)}
+
+
+def test_whole_turns_are_masked_and_keep_their_keys(spark, tmp_path):
+    word = "It. Is\n\n1. one? "
+    texts = {(1, 0): word * 100, (0, 1000): word, (1, 2): word * 300, (2, 0): "", (2, 1): "a `b` c"}
+    spark.createDataFrame([(*k, t) for k, t in texts.items()], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = catalogue.queries()["CH3_masked_code"](spark, str(tmp_path)).collect()
+    want = {}
+    for k, t in texts.items():
+        block = "```" + t.replace("`", "") + "```"
+        whole = f"Before it. {block} After it."
+        flat, blocks = chunk._masked(whole)
+        assert blocks == [(11, 11 + len(block))] and flat == f"Before it. {'x' * len(block)} After it."
+        want[k] = len({n for n, (a, b) in enumerate(chunk.sentences(whole)) for at in range(*blocks[0]) if a <= at < b})
+    assert sorted((r.conv_id, r.turn, r.pieces) for r in rows) == sorted((*k, n) for k, n in want.items())
+    assert want[1, 0] == want[0, 1000] == 1 < want[1, 2]
