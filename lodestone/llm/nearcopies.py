@@ -228,16 +228,18 @@ def _alike(asking: list[np.ndarray], others: list[np.ndarray], similarity: float
     return both >= similarity * either
 
 
-def across(pairs: DataFrame, links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) between the parts that `links` leave a dense group in: all pairs of different parts are checked.
+def across(pairs: DataFrame, part: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between the parts (cls, part) that a dense group is left in: all pairs of different parts are checked.
 
     The members outside a group's largest part meet all members, in cells of
     CELL by CELL dealt out by hash. A cell passes on a spanning forest of the
     parts that it found similar.
     """
-    group = components(pairs.where("thin").select("u", "v")).toDF("cls", "dense")
-    part = components(links).toDF("cls", "part")
-    members = cut(group.join(part, "cls", "left").select("cls", "dense", F.coalesce("part", "cls").alias("part")), "members")
+    ends = pairs.where("thin").select("u", "v")
+    for end in ("u", "v"):
+        ends = ends.join(part.toDF(end, f"{end}_part"), end, "left").withColumn(f"{end}_part", F.coalesce(f"{end}_part", end))
+    group = components(ends.select(F.col("u_part").alias("u"), F.col("v_part").alias("v"))).toDF("part", "dense")
+    members = cut(group.join(part, "part", "left").select(F.coalesce("cls", "part").alias("cls"), "dense", "part"), "members")
     sizes = members.groupBy("dense", "part").agg(F.count("*").alias("n")).groupBy("dense")
     sizes = sizes.agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("most")).where("parts > 1")
     sides = [F.ceil(n / CELL).cast("int").alias(side) for n, side in ((F.col("n") - F.col("most.n"), "rows"), (F.col("n"), "columns"))]
@@ -306,10 +308,11 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ends = cut(classes.select("cls", "first_id").join(ends, "cls", "left_semi"), "ends")
     texts = own.join(_sized(ends), "cls").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "text")
     wanted = cut(texts.dropDuplicates(["cls"]), "texts")
-    links = cut(similar(pairs.select("u", "v"), wanted, similarity), "similar")
+    reached = components(similar(pairs.select("u", "v"), wanted, similarity))
     if pairs.where("thin").limit(1).count():
-        links = links.unionByName(across(pairs, links, wanted, similarity))
-    reached = components(links)
+        reached = cut(reached, "parts")
+        more = across(pairs, reached.toDF("cls", "part"), wanted, similarity)
+        reached = components(reached.toDF("u", "v").unionByName(more))
     grouped = classes.join(reached, classes["cls"] == reached["node"], "left").select("cls", F.coalesce("root", "cls").alias("group"), "first_id", "n", F.col("root").isNotNull().alias("linked"))
     grouped = grouped.where("linked or n > 1")
     least = grouped.groupBy("group").agg(F.min("first_id").alias("keeper"))
