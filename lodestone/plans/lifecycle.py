@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
 from lodestone.operators import chunk, ingest, mining, models, rank
-from lodestone.plans.base import query, rounded, scratch, stored, table
+from lodestone.plans.base import query, rounded, shared_path, stored, table
 from lodestone.plans.retrieval import BOTH, RRF, fused, vectors
 from lodestone.streaming import events as ev
 
@@ -203,19 +203,19 @@ def ft5(spark: SparkSession, d: str) -> DataFrame:
 @query("SM1_event_stream", "SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY event_type")
 def sm1(spark: SparkSession, d: str) -> DataFrame:
     """All events through a file stream; a sink of batches, then totals."""
-    schema, source, out = table(spark, d, "events").schema, scratch(spark, "events"), scratch(spark, "stream")
+    schema, source, out = table(spark, d, "events").schema, shared_path(spark, "events"), shared_path(spark, "stream")
     table(spark, d, "events").write.parquet(source)
-    ev.run_available(ev.file_stream(spark, source, schema), ev.append_to(out), scratch(spark, "offsets"))
+    ev.run_available(ev.file_stream(spark, source, schema), ev.append_to(out), shared_path(spark, "offsets"))
     rows = spark.read.schema(schema).parquet(out)
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), rounded(F.sum("value")).alias("total"))
 
 
 @query("SM1_windowed_counts")
 def sm1_windows(spark: SparkSession, d: str) -> DataFrame:
-    schema, source, out = table(spark, d, "events").schema, scratch(spark, "events"), scratch(spark, "windows")
+    schema, source, out = table(spark, d, "events").schema, shared_path(spark, "events"), shared_path(spark, "windows")
     table(spark, d, "events").write.parquet(source)
     counts = ev.windowed_counts(ev.file_stream(spark, source, schema)).select(F.col("window.start").alias("day"), "event_type", "n", "total")
-    ev.run_available(counts, ev.append_to(out), scratch(spark, "offsets"))
+    ev.run_available(counts, ev.append_to(out), shared_path(spark, "offsets"))
     return spark.read.schema(counts.schema).parquet(out)
 
 
@@ -223,7 +223,7 @@ def sm1_windows(spark: SparkSession, d: str) -> DataFrame:
 def sm2(spark: SparkSession, d: str) -> DataFrame:
     """Two runs over one checkpoint: the second takes up only the files that came after the first."""
     rows = docs(spark, d)
-    source, out, offsets = scratch(spark, "inbox"), scratch(spark, "store"), scratch(spark, "offsets")
+    source, out, offsets = shared_path(spark, "inbox"), shared_path(spark, "store"), shared_path(spark, "offsets")
     for part in (0, 1):
         rows.where(F.pmod("doc_id", F.lit(2)) == part).write.mode("append").parquet(source)
         ev.run_available(ev.file_stream(spark, source, rows.schema), ev.append_to(out), offsets)

@@ -9,21 +9,21 @@ from lodestone import sources
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
 from lodestone.operators import models, rank
-from lodestone.plans.base import query, rounded, scratch, table
+from lodestone.plans.base import query, rounded, shared_path, table
 
 STOPS = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 
 
 @query("SRC1_walk_text_tree", "SELECT CAST(n_regionkey AS VARCHAR) AS source, n_name AS text, CAST(length(n_name) + 1 AS BIGINT) AS size FROM nation")
 def src1(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "tree")
+    path = shared_path(spark, "tree")
     sources.write_texts(table(spark, d, "nation"), path, "n_name", "n_regionkey")
     return sources.text_tree(spark, path).select(F.regexp_extract("path", "n_regionkey=(\\d+)", 1).alias("source"), F.regexp_replace("text", "\n$", "").alias("text"), "size")
 
 
 @query("SRC2_flat_texts", "SELECT r_name AS text FROM region WHERE trim(r_name) <> ''")
 def src2(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "flat")
+    path = shared_path(spark, "flat")
     sources.write_texts(table(spark, d, "region").selectExpr("concat('  ', r_name, ' ') as text").union(spark.createDataFrame([("  ",)], "text string")), path)
     return sources.flat_texts(spark, path).select("text")
 
@@ -35,7 +35,7 @@ def src3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SRC4_json_lines", "SELECT conv_id, turn, role, text FROM conversations")
 def src4(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "jsonl")
+    path = shared_path(spark, "jsonl")
     rows = table(spark, d, "conversations")
     sources.write_json(rows, path)
     return sources.json_lines(spark, path, "conv_id long, turn long, role string, text string")
@@ -43,7 +43,7 @@ def src4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SRC5_csv", "SELECT doc_id, quality, toxic FROM labels")
 def src5(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "csv")
+    path = shared_path(spark, "csv")
     sources.write_csv(table(spark, d, "labels"), path)
     return sources.csv_rows(spark, path, table(spark, d, "labels").schema)
 
@@ -90,7 +90,7 @@ def src13(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SNK1_append", "SELECT role, count(*) * 2 AS n FROM conversations GROUP BY role")
 def snk1(spark: SparkSession, d: str) -> DataFrame:
-    path, rows = scratch(spark, "store"), table(spark, d, "conversations")
+    path, rows = shared_path(spark, "store"), table(spark, d, "conversations")
     for _ in range(2):
         sources.append(rows, path)
     return spark.read.schema(rows.schema).parquet(path).groupBy("role").agg(F.count("*").alias("n"))
@@ -98,21 +98,21 @@ def snk1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SNK3_csv_summary", "SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang, source")
 def snk3(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "summary")
+    path = shared_path(spark, "summary")
     sources.write_csv(table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")), path)
     return sources.csv_rows(spark, path, "lang string, source string, n long, chars long")
 
 
 @query("SNK4_json_records", "SELECT item_id, text FROM benchmark")
 def snk4(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "records")
+    path = shared_path(spark, "records")
     sources.write_json(table(spark, d, "benchmark"), path)
     return sources.json_lines(spark, path, "item_id long, text string")
 
 
 @query("SNK6_vector_store", "SELECT vec_id, label, len(embedding) AS dims FROM embeddings")
 def snk6(spark: SparkSession, d: str) -> DataFrame:
-    path, rows = scratch(spark, "vectors"), table(spark, d, "embeddings")
+    path, rows = shared_path(spark, "vectors"), table(spark, d, "embeddings")
     sources.append(rows, path)
     return spark.read.schema(rows.schema).parquet(path).select("vec_id", "label", F.size("embedding").cast("long").alias("dims"))
 
