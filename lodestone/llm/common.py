@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import prepare
+from lodestone.session import prepare, remove, shared_path  # noqa: F401
 
 #: Rows of one Arrow batch; documents are long, so far fewer than Spark's default.
 BATCH_ROWS = 1024
@@ -27,25 +25,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file:///tmp/checkpoints/lodestone"
-        os.makedirs("/tmp/checkpoints/lodestone", exist_ok=True)
-    return found.rstrip("/")
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    return cut_at(df, shared_path(df.sparkSession, name))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def cut_at(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores behind it as keep it apart from the columns."""
+    taken = {c.casefold() for c in columns}
+    while name.casefold() in taken:
+        name += "_"
+    return name
+
+
+def with_columns(docs: DataFrame, function: Callable[[pa.RecordBatch], list], columns: str, kinds: list[pa.DataType]) -> DataFrame:
+    """docs and new last columns, whatever the names of its own; function gives a batch's new columns."""
+    tune(docs.sparkSession)
+    own, made = [f"_c{k}" for k in range(len(docs.columns))], columns.split(", ")
+    new = [f"_n{k}" for k in range(len(made))]
+    schema = ", ".join([f"{n} {t}" for n, (_, t) in zip(own, docs.dtypes, strict=True)] + [f"{n} {c.split(' ', 1)[1]}" for n, c in zip(new, made, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(function(batch), kinds, strict=True))], [*own, *new])
+
+    names = list(docs.columns)
+    for c in made:
+        names.append(fresh(c.split(" ")[0], names))
+    return map_batches(docs.toDF(*own), run, schema).toDF(*names)
 
 
 def crc_mod(column: str, modulus: int) -> Column:

@@ -2,7 +2,8 @@
 
 Each step groups with partial aggregation and joins back on the same key, so a
 node with very many links is pre-aggregated and its join is split where
-skewed. Nothing is collected; each round is cut to the shared folder.
+skewed. Nothing is collected; each round is cut to the shared folder, and the
+round before it is removed there.
 """
 
 from __future__ import annotations
@@ -10,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut_at, remove, shared_path
 
-#: Alternations double the reach of a label; more than this many would need paths of over 2 ** 40 links.
+#: Alternations double the reach of a label; more than this many would need paths of over 2 ** 40 links, and are an error.
 ROUNDS = 40
 
 
@@ -23,7 +24,9 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, root) for every node that has a link to another; root is the smallest node reachable. Nulls and loops are ignored."""
     edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(F.col(u).isNotNull() & F.col(v).isNotNull()).where("u <> v").distinct()
-    edges = cut(edges, "links")
+    spark = links.sparkSession
+    path = shared_path(spark, "links")
+    edges = cut_at(edges, path)
     before = _state(edges)
     if not before[0]:
         return edges.toDF("node", "root")
@@ -35,9 +38,13 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         large = large.unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = cut(small.where("u <> v").distinct(), "links")
+        old, path = path, shared_path(spark, "links")
+        edges = cut_at(small.where("u <> v").distinct(), path)
+        remove(spark, old)
         after = _state(edges)
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
