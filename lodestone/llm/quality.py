@@ -8,10 +8,14 @@ with all labelled vectors are computed exactly in blocks, and its NEIGHBOURS
 nearest vote with weights that grow with similarity.
 
 Defined cases: a null text counts as empty; an empty text has no direction,
-so its score is the share of good labels in the sample; without any usable
-label every score is 0.5; of repeated labels of one document each counts;
-labels that are neither 0 nor 1, or null, teach nothing; repeated documents
-are scored each on their own; other columns are ignored.
+so its score is the share of good labels among all that may be learnt from;
+without any usable label every score is 0.5; a document that repeats, or whose
+label does, is learnt once a label; labels that are neither 0 nor 1, or null,
+teach nothing; of neighbours that tie at the last place any may vote; a text
+of any length is one term row, so its length costs its own bytes alone;
+repeated documents are scored each on their own; an empty table gives no rows;
+other columns are ignored by score_quality() and kept by classify(), whose own
+column gets underscores where names clash.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_mod, map_batches, utf8
+from lodestone.llm.common import crc_mod, cut, map_batches, tune, utf8, with_columns
 
 #: Labelled documents of each label that are learnt from, latent dimensions, voters, power of the cosine in a vote.
 SAMPLE, RANK, NEIGHBOURS, POWER = 1024, 48, 25, 8
@@ -86,6 +90,7 @@ class Model:
     basis: np.ndarray  # terms x RANK
     vectors: np.ndarray  # labelled rows x RANK, unit length
     labels: np.ndarray
+    prior: float = 0.5  # share of good labels
 
     def project(self, rows: np.ndarray) -> np.ndarray:
         latent = (rows * self.weight) @ self.basis
@@ -93,7 +98,7 @@ class Model:
         return np.where(size > 1e-6, latent / np.maximum(size, 1e-6), 0)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        out = np.full(len(texts), float(self.labels.mean()) if len(self.labels) else 0.5)
+        out = np.full(len(texts), self.prior)
         live = [k for k, t in enumerate(texts) if t.strip()] if len(self.labels) else []
         voters = min(NEIGHBOURS, len(self.labels))
         for a in range(0, len(live), BLOCK):
@@ -106,11 +111,15 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> Model:
-    """Learn from at most `sample` documents of each label, chosen by a hash of doc_id."""
-    clean = labels.select("doc_id", F.col("quality").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    """Learn from at most `sample` documents of each label, chosen by a hash of doc_id among those that are there."""
+    tune(docs.sparkSession)
+    clean = labels.select("doc_id", F.col("quality").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).distinct()
+    clean = cut(clean.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    n, good = clean.agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = clean.where("label = 0").orderBy(*order).limit(sample).unionByName(clean.where("label = 1").orderBy(*order).limit(sample))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most 2 * sample ids
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one of a document's rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
             probe = np.linalg.qr(rows @ (rows.T @ probe))[0]
         _, _, right = np.linalg.svd(probe.T @ rows, full_matrices=False)
         basis = np.ascontiguousarray(right[: min(rank, len(right))].T)
-    model = Model(weight, basis, np.zeros((len(rows), basis.shape[1]), np.float32), y)
+    model = Model(weight, basis, np.zeros((len(rows), basis.shape[1]), np.float32), y, good / n if n else 0.5)
     model.vectors = model.project(rows / weight)
     return model
 
@@ -141,15 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
 def classify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """docs with quality_score. The model's size is bounded by SAMPLE, RANK and FEATURES."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"_c{k}" for k in range(len(docs.columns))]
-    schema = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True)) + ", quality_score double"
     at = docs.columns.index(text_column)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(utf8(batch.column(at))), pa.float64())], [*names, "quality_score"])
-
-    return map_batches(docs.toDF(*names), score, schema).toDF(*docs.columns, "quality_score" if "quality_score" not in docs.columns else "quality_score_")
+    return with_columns(docs, lambda batch: [shared.value.score(utf8(batch.column(at)))], "quality_score double", [pa.float64()])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
