@@ -13,13 +13,19 @@ that differ end a stretch. So is any exact copy of a whole item of fewer than
 MATCHED tokens (SHORTEST at least).
 
 The look-up table of one pass is bounded: items beyond BLOCK_TOKENS tokens are
-dealt over several passes, each over all documents.
+dealt over several passes, each over all documents and each on its own: what a
+pass finds is written by row before the next one's table is made, and the
+findings are joined to the rows at the end.
 
 Defined cases: null or blank texts and items match nothing; items of fewer
 than SHORTEST tokens are no evidence and match nothing; item rows that repeat
-are found under their item_id once; null item_ids are left out; repeated
-documents give a row each; other columns are ignored by find_leaks() and kept
-by drop_leaks().
+are found under their item_id once; null item_ids are left out; of overlaps
+with one item the one with the most equal tokens is told, of ties the first
+found; hits in a text of any length are held in parts of bounded size;
+repeated documents give a row each; an empty table of documents gives no rows,
+one of items no leak; other columns are ignored by find_leaks() and kept by
+drop_leaks() and with_leaks(), whose own column gets underscores where names
+clash.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_batches, tune
+from lodestone.llm.common import cut, fresh, tune, with_columns
 
 #: Fixed masks: 1 is compared, 0 ignored.
 MASKS = ("1111",)
@@ -183,14 +189,12 @@ class Index:
         return best
 
 
-def _passes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of bounded parts of the benchmark."""
+def _passes(benchmark: DataFrame) -> list[DataFrame]:
+    """Bounded parts of the benchmark, of about BLOCK_TOKENS tokens."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] / 5
     parts = 1 + int(total // BLOCK_TOKENS)
-    for k in range(parts):
-        part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield Index(sorted((r[0], r[1]) for r in part.collect()))  # BLOCK_TOKENS tokens, about
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [items]
 
 
 LEAK = "array<struct<item_id:long,first_token:long,tokens:long,equal_tokens:long>>"
@@ -199,23 +203,26 @@ LEAK = "array<struct<item_id:long,first_token:long,tokens:long,equal_tokens:long
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
     """docs with `leaks`, the overlaps with benchmark items by item_id."""
     spark = tune(docs.sparkSession)
-    columns, out = docs.columns, docs.withColumn("_leaks", F.array().cast(LEAK))
     kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "first_token", "tokens", "equal_tokens")]))
-    names = [f"_c{k}" for k in range(len(columns))]
-    at = columns.index(text_column)
-    for index in _passes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
-
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                made = [[{"item_id": k, "first_token": a, "tokens": n, "equal_tokens": e} for k, (a, n, e) in sorted(index.find(t or "").items())] for t in batch.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], [*names, "_leaks", "_new"])
-
-        schema = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True))
-        out = map_batches(out.toDF(*names, "_leaks"), find, f"{schema}, _leaks {LEAK}, _new {LEAK}")
-        out = out.select(*names, F.array_sort(F.concat("_leaks", "_new")).alias("_leaks"))
-    return out.toDF(*columns, "leaks" if "leaks" not in columns else "leaks_")
+    parts, names = _passes(benchmark), [*docs.columns, fresh("leaks", docs.columns)]
+    at, row, found = docs.columns.index(text_column), len(docs.columns), None
+    if len(parts) > 1:  # rows that repeat must be told apart, in every pass alike
+        docs = cut(docs.toDF(*[f"_c{k}" for k in range(row)]).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    for part in parts:
+        shared = spark.sparkContext.broadcast(Index(sorted((r[0], r[1]) for r in part.collect())))  # BLOCK_TOKENS tokens, about
+
+        def find(batch: pa.RecordBatch, shared=shared) -> list:
+            find = shared.value.find
+            return [[[{"item_id": k, "first_token": a, "tokens": n, "equal_tokens": e} for k, (a, n, e) in sorted(find(t or "").items())] for t in batch.column(at).to_pylist()]]
+
+        out = with_columns(docs, find, f"leaks {LEAK}", [kind])
+        if len(parts) == 1:
+            return out.toDF(*names)
+        some = cut(out.select("_row", F.col(out.columns[-1]).alias("_leaks")).where(F.size("_leaks") > 0), "leaks")
+        shared.destroy()
+        found = some if found is None else found.unionByName(some)
+    leaks = found.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("_leaks"))).alias("_leaks"))
+    return docs.join(leaks, "_row", "left").select(*docs.columns[:row], F.coalesce("_leaks", F.array().cast(LEAK)).alias("_leaks")).toDF(*names)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -227,5 +234,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that share no passage with the benchmark, columns as they were."""
-    columns = docs.columns
-    return with_leaks(docs, benchmark).where(F.size("leaks" if "leaks" not in columns else "leaks_") == 0).toDF(*columns, "_leaks").drop("_leaks")
+    own = [f"_c{k}" for k in range(len(docs.columns))]
+    return with_leaks(docs, benchmark).toDF(*own, "_leaks").where(F.size("_leaks") == 0).select(*own).toDF(*docs.columns)
