@@ -1,11 +1,13 @@
 """Near copies by shingle similarity: SimHash tries bring pairs together, an exact check decides.
 
 Two texts are near copies if their sets of five-word shingles have a Jaccard
-similarity of SIMILARITY or more. Equal texts are one class. Each class gets
-several independent SimHash words of its shingle set. Word by word, the lowest
-bits are joined by the binary trie self-join of the plain operator; as many
-bits as keep a row's chance partners below one, and as many words as bring
-RECALL of the pairs at the threshold together (more similar pairs surely).
+similarity of SIMILARITY or more. Equal texts (by 128 bits) are one class.
+Each class gets several independent SimHash words of its shingle set. Word by
+word, the lowest bits are joined by the binary trie self-join of the plain
+operator; as many bits as keep a row's chance partners below one, and as many
+words as bring RECALL of the pairs at the threshold together (more similar
+pairs surely). How often a bit of two sets at the threshold differs is counted
+out for small sets, which differ more often and so get more words.
 Pairs whose further bits are far apart are dropped at once, all others are
 checked on their exact shingle sets. In a dense group, of more than DENSE
 pairs a member, a task passes on each member's nearest pairs and a minimum
@@ -17,15 +19,18 @@ in cells of bounded size, so no pair that was brought together goes unchecked.
 The plan depends on the number of documents by this rule alone.
 
 Defined cases: texts without words are copies of each other; texts of fewer
-words than a shingle have one shingle; a null text counts as empty; in a group
-the row with the smallest doc_id stays (null ids last), and of rows that
-repeat it one; columns are kept.
+words than a shingle have one shingle; a null text counts as empty; a text of
+any length is one sketch, its shingles taken in parts of bounded size; in a
+group the row with the smallest doc_id stays (null ids last), and of rows that
+repeat it one; an empty table gives no rows; columns are kept, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +42,7 @@ from lodestone.llm.components import components
 from lodestone.llm.simhash import block_bounds, dealt, shingle_hashes, split_hot, sub_bits
 from lodestone.llm.trie import forest, self_join
 
-WORDS, SIMILARITY, RECALL, BUDGET = 5, 0.8, 0.99, 3
+WORDS, SIMILARITY, RECALL, BUDGET = 5, 0.8, 0.999, 3
 #: Pairs a member above which a group is dense; nearest pairs of a member that are passed on then; rows gathered before they are joined.
 DENSE, NEAREST, GATHER = 2, 2, 1 << 18
 #: Members of a dense group on one side of a cell, shingles compared at once there.
@@ -48,28 +53,54 @@ BROADCAST_ROWS = 1_000_000
 SPREAD = 3.5
 
 
-def plan(n: int, similarity: float = SIMILARITY) -> tuple[int, int]:
-    """Bits joined and number of words for n texts."""
-    cosine = 2 * similarity / (1 + similarity)
-    p = math.acos(cosine) / math.pi
+#: Shingles up to which the rate of differing bits is counted out.
+SMALL = 64
+
+
+@cache
+def bit_rate(n: int, similarity: float) -> float:
+    """The greatest chance that a bit differs between a set of n shingles and one of as many or fewer at the threshold; in the limit for n over SMALL."""
+    if n > SMALL:
+        return math.acos(2 * similarity / (1 + similarity)) / math.pi
+    least = lambda k, x: sum(math.comb(k, i) for i in range(max(0, x), k + 1)) / 2**k  # noqa: E731  chance of x or more of k coins
+    worst = 0.0
+    for m in range(math.ceil(similarity * n - 1e-9), n + 1):
+        both = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
+        if both > m or both == n:
+            continue
+        chances = [(math.comb(both, s) / 2**both, least(n - both, n // 2 + 1 - s), least(m - both, m // 2 + 1 - s)) for s in range(both + 1)]
+        worst = max(worst, sum(c * (a * (1 - b) + b * (1 - a)) for c, a, b in chances))
+    return worst
+
+
+def plan(n: int, similarity: float = SIMILARITY) -> tuple[int, np.ndarray]:
+    """Bits joined for n texts, and the number of words of a text by its shingles (the last for more than SMALL)."""
     bits = 20
     while bits < 56 and sum(math.comb(bits, k) for k in range(BUDGET + 1)) * n > 2.0**bits:
         bits += 1
-    met = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(BUDGET + 1))
-    return bits, max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - met)))
+
+    def words(size: int) -> int:
+        p = bit_rate(size, similarity)
+        met = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(BUDGET + 1))
+        return 2 if met >= RECALL else max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - met)))
+
+    need = [words(k) for k in range(SMALL + 2)]
+    # a pair shares the words of the one that has fewer: each has what its largest partner needs
+    return bits, np.array([max(need[k : min(SMALL + 1, math.floor(k / similarity + 1e-9)) + 1]) for k in range(SMALL + 2)])
 
 
-def class_id(text: Column) -> Column:
-    """The id of equal texts: 64 bits of the MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 16), 16, -10).cast("long")
+def class_hash(text: Column) -> Column:
+    """128 bits that tell texts apart."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
 
-def sketch(text: bytes, words: int) -> np.ndarray:
-    """Independent 64-bit SimHash words of the text's shingle set."""
+def sketch(text: bytes, by_size: np.ndarray) -> np.ndarray:
+    """Independent 64-bit SimHash words of the text's shingle set, as many as its size asks for."""
     hashes = np.unique(shingle_hashes(text, WORDS))
+    words = int(by_size[min(len(hashes), len(by_size) - 1)])
     if not len(hashes):
         return np.zeros(words, np.uint64)
     salt = (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
@@ -119,11 +150,11 @@ def _pick(i: np.ndarray, j: np.ndarray, apart: np.ndarray, n: int, found: tuple[
     return np.flatnonzero(keep)
 
 
-def candidates(classes: DataFrame, bits: int, words: int, similarity: float = SIMILARITY) -> DataFrame:
+def candidates(classes: DataFrame, bits: int, by_size: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
     """(u, v, thin) of classes (cls, sketch) that are to be checked; pairs left out are joined by a chain of thin ones."""
-    blocks = BUDGET + 1
+    blocks, words = BUDGET + 1, int(by_size.max())
     bounds = block_bounds(bits, blocks)
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    p = max(bit_rate(k, similarity) for k in range(SMALL + 2))
     rest = 128 - bits
     most = math.ceil(rest * p + SPREAD * math.sqrt(rest * p * (1 - p)))
     low = np.uint64((1 << bits) - 1)
@@ -131,12 +162,16 @@ def candidates(classes: DataFrame, bits: int, words: int, similarity: float = SI
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cls = batch.column(0).to_numpy()
-            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(cls), words)
+            raw = batch.column(1).to_pylist()
+            own = np.array([len(x) // 8 for x in raw], np.int64)
+            rows = np.zeros((len(cls), words), np.uint64)
+            rows[np.arange(words) < own[:, None]] = np.frombuffer(b"".join(raw), np.uint64)
             for t in range(words):
-                word, more = rows[:, t], rows[:, (t + 1) % words]
+                live = np.flatnonzero(own > t)
+                word, more = rows[live, t], rows[live, t - 1 if t else 1]
                 for k, value, turned in dealt(word & low, bits, BUDGET):
                     key = (value.astype(np.int64) * words + t) * blocks + k
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(word.view(np.int64)), pa.array(more.view(np.int64)), pa.array(cls), pa.array(sub_bits(turned, bits, bounds[k][1]))], ["key", "word", "more", "cls", "sub"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(word.view(np.int64)), pa.array(more.view(np.int64)), pa.array(cls[live]), pa.array(sub_bits(turned, bits, bounds[k][1]))], ["key", "word", "more", "cls", "sub"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(part: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -286,10 +321,10 @@ def _sized(stored: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(cls, group, keeper, n) of every class that has a copy, equal or near: its group and the smallest doc_id there."""
-    spark = tune(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("cls", class_id(F.col("text")))
-    bits, words = plan(max(2, docs.count()), similarity)
+    """(hash, group, keeper, n) of every class that has a copy, equal or near: its group and the smallest doc_id there."""
+    tune(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", class_hash(F.col("text")))
+    bits, by_size = plan(max(2, docs.count()), similarity)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,35 +332,36 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             texts = utf8(batch.column(1))
             for t in texts:
                 if t not in made:
-                    made[t] = sketch(t, words).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([made[t] for t in texts], pa.binary())], ["doc_id", "cls", "sketch"])
+                    made[t] = sketch(t, by_size).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([made[t] for t in texts], pa.binary())], ["doc_id", "hash", "sketch"])
 
     # every row's sketch is drawn where its text is, so that no text is shuffled for it
-    drawn = map_batches(own.select("doc_id", "text", "cls"), draw, "doc_id long, cls long, sketch binary")
-    classes = cut(drawn.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    pairs = cut(candidates(classes, bits, words, similarity), "pairs")
+    drawn = map_batches(own.select("doc_id", "text", "hash"), draw, "doc_id long, hash binary, sketch binary")
+    classes = drawn.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")  # numbers are drawn once, when written
+    pairs = cut(candidates(classes, bits, by_size, similarity), "pairs")
     ends = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
-    ends = cut(classes.select("cls", "first_id").join(ends, "cls", "left_semi"), "ends")
-    texts = own.join(_sized(ends), "cls").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "text")
+    ends = cut(classes.select("cls", "hash", "first_id").join(ends, "cls", "left_semi"), "ends")
+    texts = own.join(_sized(ends), "hash").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "text")
     wanted = cut(texts.dropDuplicates(["cls"]), "texts")
     reached = components(similar(pairs.select("u", "v"), wanted, similarity))
     if pairs.where("thin").limit(1).count():
         reached = cut(reached, "parts")
         more = across(pairs, reached.toDF("cls", "part"), wanted, similarity)
         reached = components(reached.toDF("u", "v").unionByName(more))
-    grouped = classes.join(reached, classes["cls"] == reached["node"], "left").select("cls", F.coalesce("root", "cls").alias("group"), "first_id", "n", F.col("root").isNotNull().alias("linked"))
+    grouped = classes.join(reached, classes["cls"] == reached["node"], "left").select("hash", F.coalesce("root", "cls").alias("group"), "first_id", "n", F.col("root").isNotNull().alias("linked"))
     grouped = grouped.where("linked or n > 1")
     least = grouped.groupBy("group").agg(F.min("first_id").alias("keeper"))
-    return cut(grouped.join(least, "group").select("cls", "group", "keeper", "n"), "groups")
+    return cut(grouped.join(least, "group").select("hash", "group", "keeper", "n"), "groups")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of copies."""
     columns = [f"_c{k}" for k in range(len(docs.columns))]
-    found = groups(docs, similarity).select(F.col("cls").alias("_cls"), F.col("group").alias("_group"), F.col("keeper").alias("_keeper"))
+    found = groups(docs, similarity).select(F.col("hash").alias("_hash"), F.col("group").alias("_group"), F.col("keeper").alias("_keeper"))
     own = docs.toDF(*columns)
     text, ident = columns[docs.columns.index("text")], columns[docs.columns.index("doc_id")]
-    own = own.withColumn("_cls", class_id(F.col(text))).join(_sized(found), "_cls", "left")
+    own = own.withColumn("_hash", class_hash(F.col(text))).join(_sized(found), "_hash", "left")
     single = own.where("_group is null").select(*columns)
     kept = own.where(F.col("_group").isNotNull() & F.col(ident).eqNullSafe(F.col("_keeper"))).dropDuplicates(["_group"]).select(*columns)
     return single.unionByName(kept).toDF(*docs.columns)
