@@ -5,12 +5,15 @@ replaced by their rank in the corpus (the most frequent is 0), and a rank
 takes one to four bytes. Two bits a rank, four ranks to a control byte, tell
 how many; control bytes and data bytes are separate streams, so a file is
 decoded by a table look-up of all control bytes at once. Documents lie in
-ascending doc_id order, first within a file and then over the files.
+ascending doc_id order, first within a file and then over the files. The ids
+by rank are a file of their own beside these, in the same coding, so a folder
+holds all that its reader needs.
 
 Defined cases: a null text counts as empty and gives the end id alone; null
-doc_ids come first; rows with equal ids lie in the order of their tokens;
-without documents there are no files and the result is empty; other columns
-are ignored.
+doc_ids come first; rows with equal ids lie in the order of their tokens; a
+document of any length lies in one file, which grows with it; without
+documents there are no token files and the result is empty; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,15 +27,18 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, map_batches, read_blobs, shared_path, tune, write_blobs
 from lodestone.llm.pieces import ODD, units
 
-#: The id that ends a document; bytes of a file, about; words that a worker remembers.
-END, FILE_BYTES, CACHE = 2, 8 << 20, 1_400_000
-MAGIC = b"LDTK0001"
+#: The id that ends a document; bytes of a file and of a range of documents, about; most ranges (then larger); words that a worker remembers.
+END, FILE_BYTES, RANGE_BYTES, MOST_RANGES, CACHE = 2, 8 << 20, 16 << 20, 10_000, 1_400_000
+#: Rows up to which the table of files is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+MAGIC, RANKS_MAGIC = b"LDTK0002", b"LDTKRANK"
 #: Lengths that a control byte stands for.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
 
@@ -119,18 +125,8 @@ def encoder(vocabulary: str) -> Callable[[list[str | None]], list[bytes]]:
     return encode
 
 
-def bounds(docs: DataFrame) -> np.ndarray:
-    """doc_ids that part the documents into about equal ranges, one a shuffle partition; only ids are read."""
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    if parts == 1:
-        return np.zeros(0, np.int64)
-    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0]
-    return np.unique(np.array(found or [], np.int64))
-
-
 def ids_table(docs: DataFrame, vocabulary: str, size: int, width: int, text_column: str = "text") -> DataFrame:
-    """range, doc_id, ids (little-endian, the end id last), and on a task's last row the counts of all its ids."""
-    edges = bounds(docs)
+    """doc_id, ids (little-endian, the end id last), and on a task's last row the counts of all its ids."""
     shared = tune(docs.sparkSession).sparkContext.broadcast(vocabulary)  # one file of a public tokenizer
     kind = f"<u{width}"
 
@@ -143,17 +139,16 @@ def ids_table(docs: DataFrame, vocabulary: str, size: int, width: int, text_colu
                 seen += np.bincount(np.frombuffer(b"".join(made), kind), minlength=size)
                 if last is not None:
                     yield last
-                where = [-1 if k is None else int(np.searchsorted(edges, k)) for k in part.column(0).to_pylist()]
-                last = pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), part.column(0), pa.array(made, pa.binary()), pa.nulls(len(made), pa.binary())], ["range", "doc_id", "ids", "counts"])
+                last = pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary()), pa.nulls(len(made), pa.binary())], ["doc_id", "ids", "counts"])
         if last is not None:
             counts = pa.array([None] * (last.num_rows - 1) + [seen.astype("<i8").tobytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*last.columns[:3], counts], last.schema.names)
+            yield pa.RecordBatch.from_arrays([*last.columns[:2], counts], last.schema.names)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column), run, "range int, doc_id long, ids binary, counts binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column), run, "doc_id long, ids binary, counts binary")
 
 
-def rank_table(ids: DataFrame, size: int) -> np.ndarray:
-    """Ids by falling frequency over all documents, ties by id; ids that do not occur come last."""
+def rank_table(ids: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Ids by falling frequency over all documents, ties by id, ids that do not occur last; and how many ids there are in all."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size, np.int64)
@@ -167,7 +162,20 @@ def rank_table(ids: DataFrame, size: int) -> np.ndarray:
     got = map_batches(rows, spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # one row an id
     total = np.zeros(size, np.int64)
     total[got.column("id").to_numpy()] = got.column("n").to_numpy()
-    return np.argsort(-total, kind="stable").astype(np.uint32)
+    return np.argsort(-total, kind="stable").astype(np.uint32), int(total.sum())
+
+
+def ranks_blob(order: np.ndarray) -> bytes:
+    """The file of the ids by rank."""
+    control, data = pack(order, np.array([len(order)]))
+    return struct.pack("<8sqqq", RANKS_MAGIC, len(order), len(control), len(data)) + control + data + b"\0"
+
+
+def parse_ranks(content: bytes) -> np.ndarray:
+    magic, n, control, data = struct.unpack_from("<8sqqq", content)
+    if magic != RANKS_MAGIC:
+        raise ValueError("not a file of ranks")
+    return unpack(np.frombuffer(content, np.uint8, control, 32), np.frombuffer(content, np.uint8, data, 32 + control), np.array([n]))
 
 
 def _blob(part: int, index: int, docs: list[int | None], sizes: list[int], ranks: np.ndarray) -> bytes:
@@ -177,15 +185,20 @@ def _blob(part: int, index: int, docs: list[int | None], sizes: list[int], ranks
     return head + table + control + data + b"\0"
 
 
-def write(ids: DataFrame, path: str, order: np.ndarray, width: int) -> None:
-    """Files of the documents in ascending doc_id order: a range's documents meet in one task, and a file holds documents of one range."""
+def write(ids: DataFrame, path: str, order: np.ndarray, width: int, total: int) -> None:
+    """Files of the documents in ascending doc_id order: a range's documents meet in one task, and a file holds documents of one range.
+
+    Of one doc_id that has very many rows, these are parted by how their ids begin.
+    """
+    spark = ids.sparkSession
+    write_blobs(spark.createDataFrame([(bytearray(ranks_blob(order)),)], "value binary").coalesce(1), f"{path}/ranks")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    shared = ids.sparkSession.sparkContext.broadcast(rank)  # one number an id
+    shared = spark.sparkContext.broadcast(rank)  # one number an id
     kind = f"<u{width}"
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, at, index, held, room = shared.value, None, 0, [], 0
+        rank, at, index, held, room = shared.value, TaskContext.get().partitionId(), 0, [], 0
 
         def out() -> pa.RecordBatch:
             docs, raw = zip(*held, strict=True)
@@ -193,18 +206,17 @@ def write(ids: DataFrame, path: str, order: np.ndarray, width: int) -> None:
             return pa.RecordBatch.from_pydict({"value": pa.array([made], pa.binary())})
 
         for batch in batches:
-            for where, doc, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if held and (where != at or room >= FILE_BYTES):
+            for doc, raw in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                if held and room >= FILE_BYTES:
                     yield out()
                     index, held, room = index + 1, [], 0
-                if where != at:
-                    at, index = where, 0
                 held.append((doc, raw))
                 room += len(raw) * 4 // 5 + 17  # two bytes an id become about 1.6
         if held:
             yield out()
 
-    placed = ids.select("range", "doc_id", "ids").repartition("range").sortWithinPartitions("range", "doc_id", "ids")
+    ranges = min(MOST_RANGES, max(1 + total * width // RANGE_BYTES, spark.sparkContext.defaultParallelism))
+    placed = ids.select("doc_id", "ids").repartitionByRange(ranges, "doc_id", F.substring("ids", 1, 8)).sortWithinPartitions("doc_id", "ids")
     write_blobs(map_batches(placed, files, "value binary"), f"{path}/files")
 
 
@@ -222,9 +234,10 @@ def parse(content: bytes, order: np.ndarray) -> tuple[int, int, list[int | None]
     return part, index, [None if x else int(k) for k, x in zip(ids, none, strict=True)], sizes, order[ranks]
 
 
-def read(spark: SparkSession, path: str, order: np.ndarray, columns: str, result: Callable[[np.ndarray], object], kinds: Iterable[pa.DataType]) -> DataFrame:
-    """doc_id, start, n_tokens and what result() makes of each document's ids."""
-    shared = tune(spark).sparkContext.broadcast(order)
+def read(spark: SparkSession, path: str, columns: str, result: Callable[[np.ndarray], object], kinds: Iterable[pa.DataType]) -> DataFrame:
+    """doc_id, start, n_tokens and what result() makes of each document's ids, from the files alone."""
+    (ranks,) = read_blobs(tune(spark), f"{path}/ranks").select("content").collect()  # one number an id
+    shared = spark.sparkContext.broadcast(parse_ranks(bytes(ranks[0])))
     names, kinds = [c.split()[0] for c in columns.split(", ")], list(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,9 +249,12 @@ def read(spark: SparkSession, path: str, order: np.ndarray, columns: str, result
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(docs), pa.int64()), pa.array([index] * len(docs), pa.int64()), pa.array(docs, pa.int64()), pa.array(ends - sizes), pa.array(sizes), *(pa.array(list(m), t) for m, t in zip(made, kinds, strict=True))], ["part", "index", "doc_id", "within", "n_tokens", *names])
 
     rows = cut(map_batches(read_blobs(spark, f"{path}/files").select("content"), run, f"part long, index long, doc_id long, within long, n_tokens long, {columns}"), "decoded")
-    sums = rows.groupBy("part", "index").agg(F.max(F.col("within") + F.col("n_tokens")).alias("n"))
-    before = sums.select("part", "index", (F.sum("n").over(Window.orderBy("part", "index")) - F.col("n")).alias("before"))  # one row a file
-    return rows.join(before, ["part", "index"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", *names)
+    sums = cut(rows.groupBy("part", "index").agg(F.max(F.col("within") + F.col("n_tokens")).alias("n")), "sums")  # one row a file
+    upto = lambda order: F.sum("n").over(order) - F.col("n")
+    parts = sums.groupBy("part").agg(F.sum("n").alias("n")).select("part", upto(Window.orderBy("part")).alias("start"))  # MOST_RANGES rows
+    before = sums.select("part", "index", upto(Window.partitionBy("part").orderBy("index")).alias("inner")).join(F.broadcast(parts), "part")
+    before = before.select("part", "index", (F.col("start") + F.col("inner")).alias("before"))
+    return rows.join(F.broadcast(before) if sums.count() <= BROADCAST_ROWS else before, ["part", "index"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", *names)
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -250,7 +266,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     size = max(Tokenizer.from_str(vocabulary).get_vocab(with_added_tokens=True).values()) + 1
     width = 2 if size <= 1 << 16 else 4
     ids = cut(ids_table(docs, vocabulary, size, width), "ids")
-    order = rank_table(ids, size)
+    order, total = rank_table(ids, size)
     path = shared_path(spark, "tokens")
-    write(ids, path, order, width)
-    return read(spark, path, order, "ids_crc32 long", lambda x: (zlib.crc32(x.astype("<u4").tobytes()),), [pa.int64()])
+    write(ids, path, order, width, total)
+    return read(spark, path, "ids_crc32 long", lambda x: (zlib.crc32(x.astype("<u4").tobytes()),), [pa.int64()])
