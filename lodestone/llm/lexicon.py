@@ -3,16 +3,17 @@
 The words that are most frequent in the corpus are compiled into a minimal
 acyclic automaton that shares suffixes as well as prefixes. The outputs on a
 word's arcs add up to the word's number, which gives its token ids. The
-automaton is plain arrays; every worker writes them to its own temporary file
-once and maps it into memory. A word that the automaton does not accept is
-merged pair by pair, lowest rank first, which gives what the tokenizers
-library gives.
+automaton is plain arrays in one file, which is written to the shared folder
+and which Spark hands to every executor once; all its workers map that copy
+into memory, read-only. A word that the automaton does not accept is merged
+pair by pair, lowest rank first, which gives what the tokenizers library gives.
 
 Defined cases: a null text counts as empty and gives no ids and an empty text;
 strings of special tokens in a text become their ids, as in the library;
 lone parts of very long texts need no special care, since a text is split at
-blanks before anything else; repeated rows are encoded each on their own;
-other columns are ignored.
+blanks before anything else; words that tie for the last places of the lexicon
+go by their letters; repeated rows are encoded each on their own; an empty
+table gives an empty lexicon and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ import json
 import mmap
 import os
 import re
-import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cached_property
@@ -31,10 +31,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_batches, tune
+from lodestone.llm.common import map_batches, read_blobs, shared_path, tune, write_blobs
 from lodestone.llm.pieces import ODD, is_plain, plain_words, units
 
 #: Words in the lexicon and the longest of them in bytes; entries of a worker's cache; distinct words counted before they are passed on.
@@ -280,12 +281,8 @@ class Transducer:
 
     KINDS = (np.int64, np.int64, np.int64, np.int64, np.int64, np.uint32, np.uint8)
 
-    def __init__(self, data: bytes):
-        file = tempfile.TemporaryFile()
-        file.write(data)
-        file.flush()
-        self.map = mmap.mmap(file.fileno(), len(data), access=mmap.ACCESS_READ)
-        file.close()  # the map keeps the file's contents; nothing stays in the folder
+    def __init__(self, data: bytes | mmap.mmap):
+        self.map = data
         head = np.frombuffer(self.map, np.int64, 1 + len(self.KINDS))
         at, arrays = 8 * len(head), []
         for kind, size in zip(self.KINDS, head[1:], strict=True):
@@ -293,6 +290,11 @@ class Transducer:
             at += int(size) + (-int(size)) % 8
         (self.root,), self.key, self.target, self.output, self.ends, self.ids, self.final = arrays
 
+    @classmethod
+    def open(cls, path: str) -> Transducer:
+        with Path(path).open("rb") as file:
+            return cls(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+
     def lookup(self, words: list[bytes]) -> list[list[int] | None]:
         """The ids of each word, None for words that are not accepted. All words take a step at a time."""
         found: list[list[int] | None] = [None] * len(words)
@@ -322,8 +324,8 @@ class Transducer:
 class Codec:
     """Encodes whole texts and decodes ids; keeps what it has worked out for words it met."""
 
-    def __init__(self, vocabulary: Vocabulary, compiled: bytes):
-        self.vocabulary, self.transducer = vocabulary, Transducer(compiled)
+    def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
+        self.vocabulary, self.transducer = vocabulary, transducer
         self.known: dict[str, bytes] = {}
         self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) or r"(?!)")
 
@@ -421,19 +423,39 @@ def _digest(vocabulary_path: str):
     return digest
 
 
+#: Codecs of this worker by the name of their file; they outlive a task.
+_CODECS: dict[str, Codec] = {}
+
+
+def share(spark: SparkSession, compiled: bytes) -> str:
+    """Hand the compiled file to all executors, which fetch it once each; its name there."""
+    path = shared_path(spark, "lexicon")
+    write_blobs(spark.createDataFrame([(bytearray(compiled + b"\0"),)], "value binary").coalesce(1), path)
+    (file,) = read_blobs(spark, path).select("path").collect()  # one file
+    spark.sparkContext.addFile(file[0])
+    return file[0].rsplit("/", 1)[1]
+
+
+def _codec(vocabulary: Vocabulary, name: str) -> Codec:
+    if name not in _CODECS:
+        _CODECS.clear()  # a worker serves one lexicon at a time
+        _CODECS[name] = Codec(vocabulary, Transducer.open(SparkFiles.get(name)))
+    return _CODECS[name]
+
+
 def _run(docs: DataFrame, vocabulary_path: str, compiled: bytes | None, text_column: str, columns: str, result) -> DataFrame:
     spark = tune(docs.sparkSession)
     vocabulary = Vocabulary.load(vocabulary_path)
     if compiled is None:
         compiled = build(docs, vocabulary, text_column=text_column)
-    shared = spark.sparkContext.broadcast((vocabulary, compiled))  # bounded by the vocabulary file and LEXICON_WORDS
+    shared, name = spark.sparkContext.broadcast(vocabulary), share(spark, compiled)  # bounded by the vocabulary file and LEXICON_WORDS
     schema = "doc_id long, " + columns
     names = [c.split()[0] for c in columns.split(", ")]
     kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        codec = Codec(*shared.value)
+        codec = _codec(shared.value, name)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
