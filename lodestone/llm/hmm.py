@@ -5,16 +5,19 @@ of their own; any other word is the symbol of its class (by its last bytes)
 times its add-one share of the class. Each Baum-Welch round sums expected
 counts per task, then over tasks by symbol; nothing but those sums (one row a
 symbol) reaches the driver. Documents are cut into segments whose transfer
-matrices are computed side by side and then chained, so the scaled forward
-recursion is exact for texts of any length without a step per token of the
-longest text.
+matrices are computed side by side, a bounded number at once, and then chained,
+so the scaled forward recursion is exact for texts of any length without a step
+per token of the longest text; besides its tokens a long text takes one small
+matrix a segment.
 
 Counts of rare words are joined by word, never broadcast.
 
 Defined cases: a null text counts as empty and is one end token; without
 training documents every symbol is equally likely and counts are zero; null
-doc_ids count as the empty text when held out documents are chosen; repeated
-rows are scored each on their own; other columns are ignored.
+doc_ids count as the empty text when held out documents are chosen; words that
+tie for the last places among the symbols go by their letters; repeated rows
+are scored each on their own; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -78,16 +81,27 @@ def _transfer(move: np.ndarray, emit: np.ndarray, tokens: np.ndarray, first: np.
     """Each segment's product of moves and emissions, scaled, and the log of the scale."""
     k = len(move)
     out, scale = np.tile(np.eye(k), (len(first), 1, 1)), np.zeros(len(first))
-    for t in range(int(length[0]) if len(length) else 0):
-        n = int(np.searchsorted(-length, -t, "left"))
-        out[:n] = (out[:n].reshape(-1, k) @ move).reshape(n, k, k) * emit[tokens[first[:n] + t]][:, None, :]
-        if t % RESCALE == RESCALE - 1:
-            top = out[:n].max((1, 2))
-            out[:n] /= top[:, None, None]
-            scale[:n] += np.log(top)
+    for a, b in _blocks(length):
+        part, log, start, size = out[a:b], scale[a:b], first[a:b], length[a:b]
+        for t in range(int(size[0])):
+            n = int(np.searchsorted(-size, -t, "left"))
+            part[:n] = (part[:n].reshape(-1, k) @ move).reshape(n, k, k) * emit[tokens[start[:n] + t]][:, None, :]
+            if t % RESCALE == RESCALE - 1:
+                top = part[:n].max((1, 2))
+                part[:n] /= top[:, None, None]
+                log[:n] += np.log(top)
     return out, scale
 
 
+def _blocks(length: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of segments of at most twice TOGETHER tokens, so that only long documents are taken in parts."""
+    ends, a = np.cumsum(length), 0
+    while a < len(length):
+        b = max(a + 1, int(np.searchsorted(ends, 2 * TOGETHER + (ends[a - 1] if a else 0), "right")))
+        yield a, b
+        a = b
+
+
 def _chain(transfer: np.ndarray, scale: np.ndarray, doc: np.ndarray, number: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Scaled forward vectors at the start of every segment; natural log-likelihood of every document."""
     k = transfer.shape[1]
@@ -150,31 +164,41 @@ def expected(model: Model, documents: list[np.ndarray]) -> tuple[np.ndarray, np.
             after[seg] = now[doc[seg]]
             step = np.einsum("nij,nj->ni", transfer[seg], after[seg])
             now[doc[seg]] = step / step.sum(1, keepdims=True)
-        steps = int(length[0])
-        forward = np.zeros((steps + 1, len(doc), k))
-        forward[0] = before
-        live = [int(np.searchsorted(-length, -t, "left")) for t in range(steps)]
-        symbol = [tokens[first[:n] + t] for t, n in enumerate(live)]
-        for t, n in enumerate(live):
-            step = (forward[t, :n] @ move) * emit[symbol[t]]
-            forward[t + 1, :n] = step / step.sum(1, keepdims=True)
-        weights, where = [], []
-        for t in range(steps - 1, -1, -1):
-            n = live[t]
-            gamma = forward[t + 1, :n] * after[:n]
-            gamma /= gamma.sum(1, keepdims=True)
-            weights.append(gamma[:, :-1])
-            where.append(symbol[t])
-            out = emit[symbol[t]] * after[:n]
-            back = out @ move.T
-            moves += (forward[t, :n] / (forward[t, :n] * back).sum(1, keepdims=True)).T @ out
-            after[:n] = back / back.sum(1, keepdims=True)
-        weight, symbols = np.concatenate(weights), np.concatenate(where)
-        for s in range(k - 1):
-            emissions[:, s] += np.bincount(symbols, weight[:, s], minlength=len(emit))
+        for a, b in _blocks(length):
+            m, e = _counts(move, emit, tokens, first[a:b], length[a:b], before[a:b], after[a:b])
+            moves += m
+            emissions += e
     return moves * move, emissions, total
 
 
+def _counts(move: np.ndarray, emit: np.ndarray, tokens: np.ndarray, first: np.ndarray, length: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected moves (not yet times the moves' chances) and emissions of segments, longest first, between their forward and backward vectors."""
+    k, steps = len(move), int(length[0])
+    moves, emissions, after = np.zeros((k, k)), np.zeros((len(emit), k - 1)), after.copy()
+    forward = np.zeros((steps + 1, len(first), k))
+    forward[0] = before
+    live = [int(np.searchsorted(-length, -t, "left")) for t in range(steps)]
+    symbol = [tokens[first[:n] + t] for t, n in enumerate(live)]
+    for t, n in enumerate(live):
+        step = (forward[t, :n] @ move) * emit[symbol[t]]
+        forward[t + 1, :n] = step / step.sum(1, keepdims=True)
+    weights, where = [], []
+    for t in range(steps - 1, -1, -1):
+        n = live[t]
+        gamma = forward[t + 1, :n] * after[:n]
+        gamma /= gamma.sum(1, keepdims=True)
+        weights.append(gamma[:, :-1])
+        where.append(symbol[t])
+        out = emit[symbol[t]] * after[:n]
+        back = out @ move.T
+        moves += (forward[t, :n] / (forward[t, :n] * back).sum(1, keepdims=True)).T @ out
+        after[:n] = back / back.sum(1, keepdims=True)
+    weight, symbols = np.concatenate(weights), np.concatenate(where)
+    for s in range(k - 1):
+        emissions[:, s] = np.bincount(symbols, weight[:, s], minlength=len(emit))
+    return moves, emissions
+
+
 def _start(counts: np.ndarray) -> Model:
     """Sticky states whose emissions are the tokens' shares, unlike by a fixed draw."""
     draw = np.random.default_rng(11)
