@@ -78,27 +78,54 @@ def test_against_sql(spark, name):
 
 # ---- search
 
+def best_of_all(rows, width, k=10):
+    """(query_id, rank, vec_id, score) by brute force in Python's integers, over rows that take part."""
+    whole = lambda x: math.floor(x * 1024) if abs(x) < 2.0**900 else int(x) * 1024
+    own = [(i, [whole(x) for x in v] + [0] * (width - len(v))) for i, v in rows]
+    out = []
+    for q in sorted({i for i, _ in own if i % 100 == 0}):
+        best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for me, x in own if me == q for i, y in own if i != q)[:k]
+        out += [(q, n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best, 1)]
+    return out
+
+
+def found(df):
+    return sorted(tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in maxscore.top_k(df).collect())
+
+
 def test_search_odd_vectors(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(0, 260)]
     rows[57] = (57, rows[3][1])
-    odd = [(300, None), (400, []), (500, [1.0, None, 2.0]), (600, [float("nan")] * 6), (700, [float("inf")] * 6), (None, [1.0] * 6), (800, [1.0, 2.0]), (900, [-0.5] * 6), (900, [-0.5] * 6), (900, [9.0] * 6)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumns({"v": F.lit(1), "score": F.lit(2), "label": F.lit(0)})
-    own = {i: np.floor(1024 * np.array(v + [0.0] * (6 - len(v)))).astype(int) for i, v in rows} | {800: np.array([1024, 2048, 0, 0, 0, 0]), 900: np.full(6, -512)}
-    want = []
-    for q in (k for k in own if k % 100 == 0):
-        best = sorted(((-int(own[q] @ own[k]), k) for k in own if k != q))[:10]
-        want += [(q, n, k, -s) for n, (s, k) in enumerate(best, 1)]
-    got = sorted(tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in maxscore.top_k(df).collect())
-    assert got == sorted(want)
+    rows += [(400, []), (800, [1.0, 2.0]), (900, [-0.5] * 6), (900, [-0.5] * 6), (900, [9.0] * 6), (901, [3.0] * 6), (901, [3.0] * 6)]
+    odd = [(300, None), (500, [1.0, None, 2.0]), (600, [float("nan")] * 6), (700, [float("inf")] * 6), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumns({"v": F.lit(1), "x": F.lit(3), "score": F.lit(2), "label": F.lit(0)})
+    assert found(df) == best_of_all(rows, 6)
     assert maxscore.top_k(df.limit(0)).count() == 0
     assert [r.vec_id for r in maxscore.top_k(df.where("vec_id in (0, 1)")).collect()] == [1]
+    assert [r.score for r in maxscore.top_k(spark.createDataFrame([(0, []), (1, [])], "vec_id long, embedding array<double>")).collect()] == [0]
+
+
+def test_vectors_of_any_finite_size_take_part(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    rows = [(i, (rng.standard_normal(2) * 10.0 ** rng.integers(-2, 12)).tolist()) for i in range(250)]
+    rows += [(1, [300000.0, 1.0]), (1000, [1e14, -1e14]), (1001, [1e14, -1e14 + 1]), (1002, [-1e300, 1.7e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = best_of_all([r for r in rows if r[0] != 1002], 2)
+    assert found(df.where("vec_id <> 1002")) == want
+    monkeypatch.setattr(maxscore, "WIDE_GROUP", 40)  # several groups of wide rows
+    monkeypatch.setattr(maxscore, "LEAST", 30)
+    assert found(df.where("vec_id <> 1002")) == want
+    assert {r[2] for r in found(df)} >= {1002} and len(found(df)) == len(want)
+    floats = spark.createDataFrame([(0, [300000.0, 1.0]), (1, [300000.0, 1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    assert found(floats) == best_of_all([(0, [300000.0, 1.0]), (1, [300000.0, 1.0]), (2, [0.5, 0.5])], 2)
 
 
 def test_search_over_many_groups_and_shards(spark, monkeypatch):
     rng = np.random.default_rng(5)
     v = rng.integers(-8, 9, (700, 4))
-    monkeypatch.setattr(maxscore, "GROUP", 10)
+    monkeypatch.setattr(maxscore, "GROUP", 40)
+    monkeypatch.setattr(maxscore, "FIRST", 100)
     df = spark.createDataFrame([(i, (x / 1024).tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     got = {}
     for r in maxscore.top_k(df).orderBy("query_id", "rank").collect():
@@ -270,7 +297,7 @@ def test_a_dense_group_gives_few_pairs():
 
 def test_base_scores_and_exact_likelihood(spark):
     texts = ["the cat sat on the mat", "the dog sat", None, "", "the the the", "Unseen WORDS here", "a " * 5000, "cat dog cat dog"] + [f"the cat {k} sat" for k in range(40)]
-    docs = spark.createDataFrame([*enumerate(texts), (None, "the cat"), (1, texts[1])], "doc_id long, text string").withColumns({"word": F.lit(1), "row": F.lit(2), "n": F.lit(3)})
+    docs = spark.createDataFrame([*enumerate(texts), (None, "the cat"), (1, texts[1])], "doc_id long, text string").withColumns({"word": F.lit(1), "row": F.lit(2), "n": F.lit(3), "held_out": F.lit(True), "like": F.lit(0)})
     rows = hmm.score_documents(docs).collect()
     every = [*enumerate(texts), (None, "the cat"), (1, texts[1])]
     held = {k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2 for k, _ in every}
@@ -287,6 +314,46 @@ def test_base_scores_and_exact_likelihood(spark):
     assert hmm.score_documents(docs.limit(0)).count() == 0
 
 
+def test_scores_are_those_of_a_forward_recursion_by_hand(spark, monkeypatch):
+    """Few frequent words, so that classes of rare words count; the first model, whose numbers can be made again here."""
+    monkeypatch.setattr(hmm, "FREQUENT", 4)
+    monkeypatch.setattr(hmm, "END", 4 + hmm.CLASSES)
+    monkeypatch.setattr(hmm, "SYMBOLS", 5 + hmm.CLASSES)
+    texts = ["the cat sat on the mat", "the dog sat", "", "a rare word here", "Unseen WORDS here", "the mat the mat"] + [f"the cat {k} sat" for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))]
+    counts = Counter(w for k, t in enumerate(texts) if not held[k] for w in t.lower().encode().split())
+    top = sorted(counts, key=lambda w: (-counts[w], w))[:4]
+    rare = {w: n for w, n in counts.items() if w not in top}
+    symbol = lambda w: top.index(w) if w in top else 4 + zlib.crc32(w[-3:]) % hmm.CLASSES
+    first = np.zeros(hmm.SYMBOLS)
+    for w, n in counts.items():
+        first[symbol(w)] += n
+    first[hmm.END] = held.count(False)
+    model = hmm._start(first)
+    size = Counter()
+    for w, n in rare.items():
+        size[symbol(w)] += n + 1
+    for r in hmm.score_documents(docs, rounds=0).collect():
+        words = texts[r.doc_id].lower().encode().split()
+        state, want = model.start, 0.0
+        for at, (s, chance) in enumerate([*((symbol(w), 1.0 if w in top else (rare.get(w, 0) + 1) / (size[symbol(w)] + 1)) for w in words), (hmm.END, 1.0)]):
+            state = (state if at == 0 else state @ model.move) * model.emit[s] * chance
+            want += math.log10(state.sum())
+            state = state / state.sum()
+        assert r.score == pytest.approx(want, rel=1e-9)
+
+
+def test_long_documents_are_taken_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(6), 3).T)
+    docs = [rng.integers(0, 6, n) for n in (3000, 5, 700)]
+    whole, likes = hmm.expected(model, docs), hmm.likelihood(model, docs)
+    monkeypatch.setattr(hmm, "TOGETHER", 200)
+    parts = hmm.expected(model, docs)
+    assert all(np.allclose(a, b) for a, b in zip(whole, parts, strict=True)) and np.allclose(likes, hmm.likelihood(model, docs))
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(0, 10**6))
 def test_forward_and_expectations_against_brute_force(seed):
@@ -350,13 +417,61 @@ def test_pipeline_against_its_stages_by_brute_force(spark):
     assert got == {k: library.encode(t, add_special_tokens=False).ids for k, t in rows} and len(got) > 100
 
 
+CLASHING = {"lang_pred": "'und'", "lang_score": "0.0D", "LANG_SET": "1", "quality_score": "1.0D", "_cls": "1", "_hash": "1", "_row": "1", "_leaks": "array(1)", "leaks": "2", "leaks_": "array()", "group": "1", "sketch": "2"}
+
+
+def clashing(docs):
+    return docs.select("*", *[F.expr(v).alias(k) for k, v in CLASHING.items()])
+
+
 def test_stages_keep_the_columns_and_survive_odd_tables(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.createDataFrame([(1, None, None, None, None), (None, "", "en", "s", 0), (2, "plain words in a row here", "en", "s", 5), (2, "plain words in a row here", "en", "s", 5), (3, "x " * 40_000, None, "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
-    docs = docs.withColumns({"lang_pred": F.lit("a"), "quality_score": F.lit(1.0), "_cls": F.lit(1), "leaks": F.lit(2)})
+    docs = clashing(spark.createDataFrame([(1, None, None, None, None), (None, "", "en", "s", 0), (2, "plain words in a row here", "en", "s", 5), (2, "plain words in a row here", "en", "s", 5), (3, "x " * 40_000, None, "s", 1)], "doc_id long, text string, lang string, source string, n_chars long"))
     for rows in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, rows, SMALL)
             assert out.columns == docs.columns, name
             assert out.count() <= rows.count()
         assert corpus_pipeline.STAGES[-1][1](spark, rows, SMALL).count() == rows.count()
+
+
+def test_columns_of_clashing_names_change_no_stage(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = table(spark, SMALL, "documents")
+    docs = docs.unionByName(spark.createDataFrame([(10**9, "12 34 !?", "en", "s", 8)], docs.schema))
+    for name, stage in corpus_pipeline.STAGES:
+        ids = sorted(r[0] for r in stage(spark, docs, SMALL).select("doc_id").collect())
+        assert sorted(r[0] for r in stage(spark, clashing(docs), SMALL).select("doc_id").collect()) == ids, name
+        assert name != "language_id" or 10**9 not in ids
+
+
+def test_several_passes_tell_rows_apart(spark, monkeypatch):
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    docs, bench = docs.union(docs.limit(20)), table(spark, SMALL, "benchmark")
+    rows = lambda: sorted(map(str, decontaminate.find_leaks(docs, bench).collect()))
+    want = rows()
+    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 1000)
+    assert rows() == want and any("contaminated=True" in r for r in want)
+    assert decontaminate.drop_leaks(clashing(docs), bench).columns == clashing(docs).columns
+
+
+# ---- words of a sketch
+
+@pytest.mark.parametrize(("n", "m", "both"), [(5, 4, 4), (14, 14, 13), (23, 20, 20)])
+def test_the_rate_of_differing_bits_is_that_of_drawn_sets(n, m, both):
+    rng = np.random.default_rng(n)
+    draws = 200_000
+    shared, a, b = (rng.binomial(k, 0.5, draws) for k in (both, n - both, m - both))
+    seen = ((2 * (shared + a) > n) != (2 * (shared + b) > m)).mean()
+    assert seen <= nearcopies.bit_rate(n, 0.8) + 0.005
+    assert nearcopies.bit_rate(5, 0.8) == pytest.approx(0.1875)
+
+
+def test_short_near_copies_are_found(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(600):
+        words = [f"a{x}" for x in rng.integers(0, 10**9, int(rng.integers(8, 30)))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "more"]))]  # one shingle more, at 0.8 or above
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(r.doc_id % 2 for r in nearcopies.drop_near_duplicates(docs).collect()) <= 2

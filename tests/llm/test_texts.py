@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -107,6 +108,8 @@ def test_language_odd_texts(spark):
     got = {r.doc_id: (r["lang_pred_"], r.lang_set) for r in out.collect()}
     assert got[0] == ("en", ["en"]) and got[1] == ("fr", ["fr"]) and got[7][1] == ["en", "fr"]
     assert got[2][0] == got[3][0] == got[4][0] == "und"
+    odd = spark.createDataFrame(list(enumerate(["² ½ ①", "٣٤", "_", "a²", "中", "ª"])), "doc_id long, text string")
+    assert {r.doc_id for r in language.identify(odd, language.learn(documents(spark, *texts, langs=langs))).where("lang_pred = 'und'").collect()} == {0, 1, 2}
     empty = documents(spark, "x").limit(0)
     assert language.predict_languages(empty).count() == 0
     none = documents(spark, "abc", langs=[None]).where("doc_id = 0")
@@ -125,6 +128,64 @@ def test_mixture_shares_against_brute_force():
     assert np.allclose(got[0], share, atol=1e-9)
 
 
+SYLLABLES = "ba be bi bo bu ca ce ci co cu da de di do du fa fe fi fo fu".split()
+
+
+def _languages(n):
+    """Texts of n invented languages, each of its own words."""
+    rng = np.random.default_rng(12)
+    words = [["".join(rng.choice(SYLLABLES, 3)) + chr(97 + k) * 2 for _ in range(40)] for k in range(n)]
+    return lambda k, size: " ".join(rng.choice(words[k], size))
+
+
+def test_a_document_may_hold_any_number_of_languages(spark):
+    text = _languages(7)
+    rows = [(k, text(k % 7, 300), f"l{k % 7}") for k in range(70)]
+    learned = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    pred, score, sets = language.infer([" ".join(text(k, 400 + 40 * k) for k in range(7)), text(3, 50)], *learned)
+    assert sets == [[f"l{k}" for k in range(7)], ["l3"]] and pred == ["l6", "l3"] and score[1] == 1.0 and abs(score[0] - 640 / 3640) < 0.02
+
+
+def test_predictions_are_those_of_the_likeliest_set_by_brute_force(spark):
+    """Every subset's maximum likelihood, by EM of its own from scratch, against the nested search; and the score is the share in the set."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    langs, table_, prior = language.learn(docs)
+    rows = [r.text for r in docs.where("lang is not null").limit(60).collect() if language.has_letter(r.text)]
+    rows += [a[:600] + " " + b[:600] for a, b in zip(rows[:12], rows[12:24], strict=True)]
+    pred, score, sets = language.infer(rows, langs, table_, prior)
+    agree = 0
+    for text, p, s, chosen in zip(rows, pred, score, sets, strict=True):
+        raw = b"  " + text.lower().encode().translate(language._TABLE) + b"   "
+        codes = np.array([language._trigrams(np.frombuffer(raw[i : i + 3], np.uint8))[0] for i in range(len(raw) - 2)])
+        log = np.array([table_[codes[a : a + language.WINDOW]].sum(0) for a in range(0, len(codes), language.WINDOW)], np.float64)
+        weight = np.array([(codes[a : a + language.WINDOW] < language.FEATURES).sum() for a in range(0, len(codes), language.WINDOW)])
+        like = np.exp(np.maximum(log - log.max(1, keepdims=True), -290))[weight > 0]
+        weight = weight[weight > 0]
+        best = None
+        for m in range(1, len(langs) + 1):
+            for some in combinations(range(len(langs)), m):
+                own, share = like[:, some], np.full(m, 1 / m)
+                for _ in range(60):
+                    post = own * share
+                    share = (post / post.sum(1, keepdims=True) * weight[:, None]).sum(0) / weight.sum()
+                value = np.log((own * share).sum(1)).sum() - (m - 1) * (0.5 * np.log(max(2, -(-len(codes) // language.WINDOW))) + language.EXTRA_PENALTY)
+                if best is None or value > best[0] + 1e-9:
+                    best = value, some, share
+        names = [langs[k] for k in best[1]]
+        agree += names == chosen and names[int(best[2].argmax())] == p and abs(best[2].max() - s) < 0.02
+    assert agree >= len(rows) - 1
+
+
+def test_slices_of_a_long_text_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abc de"), 5000)), "x", "".join(rng.choice(list("xyz "), 300))]
+    learned = (["a", "b"], np.log(rng.random((language.FEATURES + 1, 2))).astype(np.float32), np.array([0.5, 0.5]))
+    whole = language.infer(texts, *learned)
+    monkeypatch.setattr(language, "_SLICE", 3)
+    parts = language.infer(texts, *learned)
+    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1]) and whole[2] == parts[2]
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     rows = quality.score_quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
@@ -137,12 +198,18 @@ def test_quality_odd_cases(spark):
     labels = spark.createDataFrame([(2, 1, 0), (3, 0, 0), (3, 0, 1), (4, 1, 0), (None, 1, 0), (1, None, 0), (77, 5, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), labels)
     got = {r.doc_id: r.quality_score for r in quality.classify(docs, model).collect()}
-    assert got[0] == got[1] == pytest.approx(model.labels.mean()) and got[2] > got[3] and all(0 <= s <= 1 for s in got.values())
+    assert got[0] == got[1] == pytest.approx(model.prior) == pytest.approx(2 / 3) and got[2] > got[3] and all(0 <= s <= 1 for s in got.values())
     nothing = quality.fit(docs, labels.limit(0))
     assert {r.quality_score for r in quality.classify(docs, nothing).collect()} == {0.5}
     assert quality.classify(docs.limit(0), model).count() == 0
 
 
+def test_the_sample_is_drawn_from_documents_that_are_there(spark):
+    docs = spark.createDataFrame([(k, f"text number {k} " * 5) for k in range(90, 100)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int")
+    assert len(quality.fit(docs, labels, sample=4).labels) == 8
+
+
 def test_votes_are_those_of_the_nearest(spark):
     rng = np.random.default_rng(0)
     texts = [bytes(rng.choice(list(b"abcDE!. |"), 80).tolist()) for _ in range(30)]
@@ -231,6 +298,37 @@ def test_every_overlap_of_the_tolerated_kind_is_found(seed):
     assert leaks_of(" ".join(noise), " ".join(item)) == {}
 
 
+def leak_truth(text, item):
+    """The most equal tokens of any stretch of any diagonal that the rule calls a leak, by brute force."""
+    own, other = decontaminate.tokens_of(text), decontaminate.tokens_of(item)
+    best = 0
+    for shift in range(-len(other) + 1, len(own)):
+        same = [own[k] == other[k - shift] for k in range(max(0, shift), min(len(own), shift + len(other)))]
+        for a in range(len(same)):
+            equal = miss = 0
+            for b in range(a, len(same)):
+                equal, miss = equal + same[b], 0 if same[b] else miss + 1
+                if miss >= decontaminate.GIVE_UP or not same[a]:
+                    break
+                if same[b] and equal >= decontaminate.MATCHED and 5 * equal >= 4 * (b - a + 1):
+                    best = max(best, equal)
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**6))
+def test_leaks_are_those_of_brute_force_under_random_substitutions(seed):
+    rng = np.random.default_rng(seed)
+    words = int(rng.choice([6, 40, 400]))  # few words: much is equal by chance
+    item = [f"w{k}" for k in rng.integers(0, words, int(rng.integers(13, 40)))]
+    a = int(rng.integers(0, len(item) - 12))
+    part = [w if rng.random() > rng.choice([0.0, 0.1, 0.2, 0.3]) else f"w{rng.integers(0, words)}" for w in item[a : a + int(rng.integers(12, 30))]]
+    noise = [f"w{k}" for k in rng.integers(0, words, 20)]
+    text = " ".join([*noise[:9], *part, *noise[9:]])
+    got = leaks_of(text, " ".join(item))
+    assert (got[0][2] if got else 0) == leak_truth(text, " ".join(item))
+
+
 def test_find_and_drop_leaks(spark, monkeypatch):
     docs = documents(spark, None, "", f"x {ITEM} y", LONG, "clean words only here")
     bench = spark.createDataFrame([(7, ITEM), (7, ITEM), (8, None), (9, ""), (None, ITEM), (10, "a b")], "item_id long, text string")
@@ -273,7 +371,7 @@ def test_bpe_is_the_librarys(spark, library):
 def test_any_text_is_encoded_as_the_library_does(library, text):
     global _codec
     if "_codec" not in globals():
-        _codec = lexicon.Codec(lexicon.Vocabulary.load(vocabulary_path()), lexicon.compile_transducer({}))
+        _codec = lexicon.Codec(lexicon.Vocabulary.load(vocabulary_path()), lexicon.Transducer(lexicon.compile_transducer({})))
     want = library.encode(text, add_special_tokens=False).ids
     assert _codec.encode([text])[0] == want
     assert np.frombuffer(tokenfile.encoder(_codec.vocabulary.text)([text])[0], "<u2").tolist() == [*want, tokenfile.END]
@@ -298,6 +396,37 @@ def test_merging_many_words_is_merging_each():
     assert v.merge_all(words) == [v.merge(w) for w in words] and v.merge("ab" * 60) == v._merge_long([*("ab" * 60)[:-1], "b</w>"])
 
 
+def test_a_folder_holds_all_that_its_reader_needs(spark, library):
+    """Files written by one process are decoded by another that has only their path."""
+    import subprocess
+    import sys
+
+    docs = documents(spark, *ODD_TEXTS).where("doc_id is not null").dropDuplicates(["doc_id"])
+    path = tokenfile.shared_path(spark, "tokens")
+    vocabulary = lexicon.Vocabulary.load(vocabulary_path())
+    ids = tokenfile.cut(tokenfile.ids_table(docs, vocabulary.text, len(vocabulary.tokens), 2), "ids")
+    order, total = tokenfile.rank_table(ids, len(vocabulary.tokens))
+    tokenfile.write(ids, path, order, 2, total)
+    code = f"""
+import sys, pathlib
+sys.path.insert(0, {str(Path(__file__).parents[2])!r})
+from lodestone.llm import tokenfile
+(ranks,) = pathlib.Path({path.removeprefix('file://')!r}, "ranks").glob("*.txt")
+order = tokenfile.parse_ranks(ranks.read_bytes())
+for f in sorted(pathlib.Path({path.removeprefix('file://')!r}, "files").glob("*.txt")):
+    _, _, docs, sizes, ids = tokenfile.parse(f.read_bytes(), order)
+    at = 0
+    for d, n in zip(docs, sizes.tolist()):
+        print(d, *ids[at : at + n].tolist())
+        at += n
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout
+    got = {int(x.split()[0]): list(map(int, x.split()[1:])) for x in out.splitlines()}
+    assert got == {k: [*library.encode(t or "", add_special_tokens=False).ids, 2] for k, t in enumerate(ODD_TEXTS)}
+    rows = tokenfile.read(spark, path, "n long", lambda x: (len(x),), [tokenfile.pa.int64()]).collect()
+    assert {r.doc_id: r.n for r in rows} == {k: len(v) for k, v in got.items()}
+
+
 def test_token_files_round_trip(spark, library):
     docs = documents(spark, *ODD_TEXTS).where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = tokenfile.round_trip(docs, vocabulary_path()).orderBy("doc_id").collect()
