@@ -3,6 +3,13 @@
 Every stage but the last returns the columns of `documents` and drops rows;
 the last returns the token ids of what is left. A stage learns from its own
 input (and from `labels` or `benchmark`), so it behaves alike on any table.
+
+Defined cases, of every stage: a null text counts as empty; rows with a null
+doc_id stay or go like any other; repeated rows are judged each on their own
+but by near_dedup, which leaves one; texts of any length are taken whole;
+other columns are kept, whatever their names; an empty table gives no rows.
+Texts without letters go at language_id. Without labels no document goes at
+quality. The operators tell how they break ties.
 """
 
 from __future__ import annotations
@@ -21,16 +28,23 @@ from lodestone.llm.queries import vocabulary_path
 LEAST_SHARE = 0.4
 
 
+def _positional(docs: DataFrame) -> DataFrame:
+    """docs with names of our own, so that a column of the input is never taken for an operator's."""
+    return docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those without a main language."""
-    named = language.identify(docs, language.learn(docs))
-    return named.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SHARE)).select(*docs.columns)
+    own = _positional(docs)
+    named = language.identify(own, language.learn(docs), own.columns[docs.columns.index("text")])
+    return named.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SHARE)).select(*own.columns).toDF(*docs.columns)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose neighbours are junk."""
-    scored = quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+    own = _positional(docs)
+    scored = quality.classify(own, quality.fit(docs, table(spark, sf_dir, "labels")), own.columns[docs.columns.index("text")])
+    return scored.where(F.col("quality_score") >= quality.THRESHOLD).select(*own.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
