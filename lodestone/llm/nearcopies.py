@@ -10,9 +10,9 @@ pairs surely). How often a bit of two sets at the threshold differs is counted
 out for small sets, which differ more often and so get more words.
 Pairs whose further bits are far apart are dropped at once, all others are
 checked on their exact shingle sets. In a dense group, of more than DENSE
-pairs a member, a task passes on each member's nearest pairs and a minimum
-spanning forest instead of all pairs; every block of every word does so anew,
-by bits of its own. The forest keeps the group known: where the checked pairs
+pairs a member, a task passes on a minimum spanning forest, which holds each
+member's nearest pair, instead of all pairs; every block of every word does so
+anew, by bits of its own. The forest keeps the group known: where the checked pairs
 leave it in several parts, every pair of different parts is checked as well,
 in cells of bounded size, so no pair that was brought together goes unchecked.
 
@@ -43,8 +43,8 @@ from lodestone.llm.simhash import block_bounds, dealt, shingle_hashes, split_hot
 from lodestone.llm.trie import forest, self_join
 
 WORDS, SIMILARITY, RECALL, BUDGET = 5, 0.8, 0.999, 3
-#: Pairs a member above which a group is dense; nearest pairs of a member that are passed on then; rows gathered before they are joined.
-DENSE, NEAREST, GATHER = 2, 2, 1 << 18
+#: Pairs a member above which a group is dense; rows gathered before they are joined.
+DENSE, GATHER = 2, 1 << 18
 #: Members of a dense group on one side of a cell, shingles compared at once there.
 CELL, SHINGLES = 256, 1 << 12
 #: Rows of three longs up to which a stored table is broadcast; a larger one is joined by shuffle.
@@ -135,18 +135,10 @@ def _dense(i: np.ndarray, j: np.ndarray, apart: np.ndarray, n: int) -> tuple[np.
 
 
 def _pick(i: np.ndarray, j: np.ndarray, apart: np.ndarray, n: int, found: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Positions of the pairs to pass on: all of a sparse group, of a dense one the nearest and a minimum spanning forest."""
+    """Positions of the pairs to pass on: all of a sparse group, of a dense one a minimum spanning forest."""
     tree, dense = found or _dense(i, j, apart, n)
-    if not dense.any():
-        return np.arange(len(i))
     keep = ~dense
     keep[tree] = True
-    at = np.flatnonzero(dense)
-    end, apart = np.concatenate([i[at], j[at]]), np.concatenate([apart[at], apart[at]])
-    order = np.lexsort((apart, end))
-    first = np.flatnonzero(np.append(True, np.diff(end[order]) != 0))
-    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    keep[at[order[rank < NEAREST] % len(at)]] = True
     return np.flatnonzero(keep)
 
 
