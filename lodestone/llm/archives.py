@@ -4,8 +4,11 @@ An ARC file opens with a version block whose second line tells the version;
 each record opens with a line of that version's fields (five in version 1, ten
 in version 2) whose last is the declared length of what follows. Records are
 taken by declared length, never by searching, and become WARC records: the
-capture time as an ISO date, an identifier made from the record, the type by
-the decision on equal payloads, and SHA-1 digests of block and payload.
+capture time as an ISO date, an identifier made from the record and its place,
+and SHA-1 digests of block and payload. The type is synthesised: the version
+block becomes a warcinfo record, what holds an HTTP response a response (or a
+revisit, by the decision on equal payloads), anything else a resource of its
+own media type.
 
 Of records with equal payloads of at least REVISIT_BYTES the one with the
 largest page id is a response and the others revisit it. The decisions come
@@ -15,8 +18,11 @@ payloads are not shuffled where that table is small.
 Defined cases: a null payload is empty; a null url is empty and written as
 "-"; characters that a header line can't hold are percent-encoded; a null page
 id is never the largest, and is a response unless another page holds the same
-payload; rows that repeat the largest page id are all responses; without rows
-there are no files and the result is empty; other columns are ignored.
+payload; rows that repeat the largest page id are all responses, and revisits
+name the last of them; no two records share an identifier; a payload of any
+length that a row can hold is one record; an archive to be converted must fit a
+row (2 GB); without rows there are no files and the result is empty; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,8 +89,8 @@ def write_arc(pages: Iterable[tuple[int | None, str | None, bytes]], version: in
     return b"".join(out)
 
 
-def read_arc(content: bytes) -> Iterator[ArcRecord]:
-    """The records of an ARC file, plain or gzipped member by member."""
+def read_arc(content: bytes, info: bool = False) -> Iterator[ArcRecord]:
+    """The records of an ARC file, plain or gzipped member by member; its version block too if wanted."""
     if content[:2] == b"\x1f\x8b":
         content = gzip.decompress(content)
     at, version = 0, 0
@@ -110,40 +116,47 @@ def read_arc(content: bytes) -> Iterator[ArcRecord]:
         if len(block) < size:
             raise ValueError(f"an ARC record shorter than declared at byte {at}")
         at = end + 1 + size
-        if not fields["url"].startswith("filedesc:"):
+        if info or not fields["url"].startswith("filedesc:"):
             yield ArcRecord(version, fields, block)
 
 
-def record_id(page: str | int | None, url: str, date: str, digest: str) -> str:
-    key = f"page:{page}" if page is not None else f"{url} {date} {digest}"
-    return f"<urn:uuid:{uuid5(NAMESPACE_URL, key)}>"
+def record_id(*key: object) -> str:
+    return f"<urn:uuid:{uuid5(NAMESPACE_URL, ' '.join(map(str, key)))}>"
 
 
-def to_warc(arc: ArcRecord, refers_to: int | None = None, page: int | None = None) -> bytes:
-    """The WARC record of an ARC record: a revisit if it refers to a page, else a response."""
+def kind_of(arc: ArcRecord) -> tuple[str, str]:
+    """WARC type and media type of an ARC record."""
+    if arc.fields["url"].startswith("filedesc:"):
+        return "warcinfo", "application/warc-fields"
+    if arc.block.startswith(b"HTTP/"):
+        return "response", "application/http; msgtype=response"
+    return "resource", arc.fields["mime"]
+
+
+def to_warc(arc: ArcRecord, place: object, refers_to: tuple[int, object] | None = None) -> bytes:
+    """The WARC record of an ARC record at a place of its own (part of its identifier): a revisit if it refers to a page (its id and place), else by its kind."""
     headers, payload = arc.http
-    page = headers.get("x-page-id", page)
-    sha = sha1(payload)
-    digest = "sha1:" + b32encode(sha.digest()).decode()
+    kind, media = kind_of(arc)
     d = arc.fields["date"].ljust(14, "0")
-    block = arc.block if refers_to is None else arc.block[: len(arc.block) - len(payload)]
-    lines = [
-        "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page, arc.fields['url'], arc.fields['date'], sha.hexdigest())}",
-        f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
-        f"WARC-Target-URI: {arc.fields['url']}",
-        f"WARC-IP-Address: {arc.fields['ip']}",
-        f"WARC-Payload-Digest: {digest}",
-        f"WARC-Block-Digest: sha1:{b32encode(sha1(block).digest()).decode()}",
-        f"WARC-Payload-Length: {len(payload)}",
-        "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block)}",
-    ]
-    if page is not None:
-        lines.append(f"X-Page-Id: {page}")
+    lines = [f"WARC-Record-ID: {record_id(place)}", f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"]
+    if kind == "warcinfo":
+        name = arc.fields["url"].partition("//")[2]
+        block = f"software: lodestone\r\nformat: WARC file version 1.1\r\nsource: {name}\r\nsource-format: ARC version {arc.version}\r\n".encode()
+        lines += [f"WARC-Filename: {name}"]
+    else:
+        block = arc.block if refers_to is None else arc.block[: len(arc.block) - len(payload)]
+        kind = kind if refers_to is None else "revisit"
+        lines += [
+            f"WARC-Target-URI: {arc.fields['url']}",
+            f"WARC-IP-Address: {arc.fields['ip']}",
+            f"WARC-Payload-Digest: sha1:{b32encode(sha1(payload).digest()).decode()}",
+            f"WARC-Payload-Length: {len(payload)}",
+        ]
+        if "x-page-id" in headers:
+            lines.append(f"X-Page-Id: {headers['x-page-id']}")
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, '', '', '')}", f"X-Refers-To-Page-Id: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to[1])}", f"X-Refers-To-Page-Id: {refers_to[0]}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", *lines, f"WARC-Block-Digest: sha1:{b32encode(sha1(block).digest()).decode()}", f"Content-Type: {media}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -166,10 +179,11 @@ def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def decisions(pages: DataFrame) -> DataFrame:
-    """(digest, keeper): for payloads that occur more than once, the page that the others revisit."""
+    """(digest, keeper): for payloads that occur more than once, the page that the others revisit and its place."""
     payload = F.coalesce(F.col("payload"), F.lit("").cast("binary"))
-    rows = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")).where(F.col("size") >= REVISIT_BYTES)
-    return rows.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("digest", "keeper")
+    rows = pages.select("page_id", "place", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")).where(F.col("size") >= REVISIT_BYTES)
+    found = rows.groupBy("digest").agg(F.max(F.struct("page_id", "place")).alias("keeper"), F.count("*").alias("n"))
+    return found.where("n > 1 and keeper.page_id is not null").select("digest", "keeper")
 
 
 def _bundles(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +201,12 @@ def _bundles(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
 
 def pages_to_warc(pages: DataFrame, path: str, version: int = 2) -> None:
     """WARC files of (page_id, url, payload binary): each batch of pages becomes an ARC file, which is parsed and converted."""
+    pages = pages.withColumn("place", F.monotonically_increasing_id())  # the same in both scans of a table
     decided = cut(decisions(pages), "decisions")
     payload = F.coalesce(F.col("payload"), F.lit("").cast("binary"))
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest")).join(decided, "digest", "left")
-    rows = rows.select("page_id", "url", "payload", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper")), F.col("keeper")).alias("refers_to"))
+    rows = pages.select("page_id", "url", payload.alias("payload"), "place", F.sha1(payload).alias("digest")).join(decided, "digest", "left")
+    again = F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper.page_id"))
+    rows = rows.select("page_id", "url", "payload", "place", F.when(again, F.col("keeper.page_id")).alias("refers_to"), F.when(again, F.col("keeper.place")).alias("there"))
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
@@ -198,8 +214,8 @@ def pages_to_warc(pages: DataFrame, path: str, version: int = 2) -> None:
                 for a in range(0, batch.num_rows, 64):
                     part = batch.slice(a, 64)
                     archive = write_arc(zip(*(part.column(k).to_pylist() for k in range(3)), strict=True), version)
-                    for arc, refers_to in zip(read_arc(archive), part.column(3).to_pylist(), strict=True):
-                        yield to_warc(arc, refers_to)
+                    for arc, place, refers_to, there in zip(read_arc(archive), *(part.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
+                        yield to_warc(arc, f"page {place}", None if refers_to is None else (refers_to, f"page {there}"))
 
         yield from _bundles(records())
 
@@ -207,22 +223,23 @@ def pages_to_warc(pages: DataFrame, path: str, version: int = 2) -> None:
 
 
 def convert_archives(spark: SparkSession, arc_path: str, warc_path: str) -> None:
-    """ARC files of a folder to WARC files: every record a response, as captured."""
+    """ARC files of a folder to WARC files, every record as captured, and a warcinfo record for each file."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
             for batch in batches:
                 for k in range(batch.num_rows):
-                    yield from map(to_warc, read_arc(batch.column(0)[k].as_py()))
+                    path = batch.column(1)[k].as_py()
+                    yield from (to_warc(arc, f"{path} {n}") for n, arc in enumerate(read_arc(batch.column(0)[k].as_py(), info=True)))
 
         yield from _bundles(records())
 
-    files = tune(spark).read.format("binaryFile").load(arc_path).select("content")
+    files = tune(spark).read.format("binaryFile").load(arc_path).select("content", "path")
     write_blobs(map_batches(files, convert, "value binary"), warc_path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: page_id, url, record_id, date, payload_bytes, payload_digest (hex), record_type, refers_to; digests of responses are taken anew and must agree."""
+    """Per record but warcinfo: page_id, url, record_id, date, payload_bytes, payload_digest (hex), record_type, refers_to; digests of payloads that are there are taken anew and must agree."""
     schema = "page_id long, url string, record_id string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +247,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for k in range(batch.num_rows):
                 rows = []
                 for headers, block in read_warc(batch.column(0)[k].as_py()):
+                    if headers["warc-type"] == "warcinfo":
+                        continue
                     digest, size = b32decode(headers["warc-payload-digest"][5:]).hex(), int(headers["warc-payload-length"])
-                    if headers["warc-type"] == "response":
+                    if headers["warc-type"] != "revisit":
                         payload = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
                         if (sha1(payload).hexdigest(), len(payload)) != (digest, size):
                             raise ValueError(f"digest or length of {headers['warc-record-id']} is wrong")
