@@ -5,6 +5,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -62,6 +63,30 @@ def test_arc_files_are_converted(spark, tmp_path):
     rows = archives.read_archives(spark, f"file://{tmp_path}/out").orderBy("page_id").collect()
     assert [(r.page_id, r.url, r.payload_bytes, r.date) for r in rows] == [(1, "http://a/1", 3, "2026-01-01T00:00:00Z"), (2, "http://a/2", 3, "2026-01-01T00:00:00Z"), (3, "http://b/3", 5, "2026-01-01T00:00:00Z")]
     assert len({r.record_id for r in rows}) == 3
+    raw = [h for f in (tmp_path / "out").glob("*.txt") for h, _ in archives.read_warc(f.read_bytes())]
+    assert sorted(h["warc-type"] for h in raw) == ["response"] * 3 + ["warcinfo"] * 2 and len({h["warc-record-id"] for h in raw}) == 5
+
+
+def test_types_are_those_of_the_records():
+    block = b"20260101000000\nwww.example.org A 127.0.0.1\n"
+    line = b"dns:www.example.org 127.0.0.1 20260102030405 text/dns %d\n" % len(block)
+    content = archives.write_arc([(1, "http://a/1", b"one")], 1) + line + block + b"\n"
+    made = [next(archives.read_warc(archives.to_warc(arc, n))) for n, arc in enumerate(archives.read_arc(content, info=True))]
+    assert [(h["warc-type"], h["content-type"]) for h, _ in made] == [("warcinfo", "application/warc-fields"), ("response", "application/http; msgtype=response"), ("resource", "text/dns")]
+    assert made[2][1] == block and made[2][0]["warc-date"] == "2026-01-02T03:04:05Z" and b"ARC version 1" in made[0][1]
+
+
+def test_no_two_records_share_an_identifier(spark):
+    big = "long " * 400_000
+    df = pages(spark, *[(1, "u", BIG)] * 3, *[(None, "u", "x")] * 3, (0, "u", BIG), (5, "v", big), (4, "v", big))
+    path = archives.shared_path(spark, "warc")
+    archives.pages_to_warc(df.select("page_id", "url", F.col("html").cast("binary").alias("payload")), path)
+    rows = archives.read_archives(spark, path).collect()
+    assert len({r.record_id for r in rows}) == len(rows) == 9
+    assert {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in rows if r.page_id in (0, 1, 4, 5)} == {(0, "revisit", 1, 1200), (1, "response", None, 1200), (4, "revisit", 5, 2_000_000), (5, "response", None, 2_000_000)}
+    ids = {r.record_id for r in rows if r.page_id in (1, 5)}
+    raw = [h for f in Path(path.removeprefix("file:")).glob("*.txt") for h, _ in archives.read_warc(f.read_bytes())]
+    assert {h["warc-refers-to"] for h in raw if h["warc-type"] == "revisit"} <= ids
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
