@@ -1,17 +1,22 @@
 """BM25 over an inverted index of (term, doc_id, tf) with document lengths.
 
+An index is stored once, sorted by term, and read by every query after that.
 Only postings of terms that some query asks for are kept before the
 aggregation, so what is shuffled follows the queries, not the corpus.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import rank
 
+#: Terms asked for, up to which their table is broadcast; a larger one is joined by shuffle.
+BROADCAST_TERMS = 1_000_000
 METHODS = ("lucene", "robertson", "atire", "bm25l", "bm25+")
 
 
@@ -20,8 +25,10 @@ def tokenised(docs: DataFrame, tokens: Column, ident: str = "doc_id") -> DataFra
     return docs.select(F.col(ident).alias("doc_id"), tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
-def full_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), tx.BETWEEN_WORDS), lambda t: (F.length(t) >= 2) & ~tx.is_stop_word(t))
+def full_tokens(text: Column, stop_words: tuple[str, ...] | None = None) -> Column:
+    """Lower-cased words of two letters or more that are no stop words (the list of query cleaning, if none is given)."""
+    stops = tx.is_stop_word if stop_words is None else lambda t: t.isin(*stop_words) if stop_words else F.lit(False)
+    return F.filter(F.split(F.lower(text), tx.BETWEEN_WORDS), lambda t: (F.length(t) >= 2) & ~stops(t))
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -29,20 +36,53 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def score(docs: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75, method: str = "lucene", delta: float | None = None, repeat_terms: bool = False, digits: int = 6) -> DataFrame:
-    """(query_id, doc_id, score) of tokenised documents for (query_id, term), scores above 0.
+@dataclass
+class Index:
+    """Stored postings (term, doc_id, tf, dl), number of documents and their mean length."""
+
+    postings: DataFrame
+    n_docs: int
+    avgdl: float
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> Index:
+        """An index of tokenised documents that is not stored: each query of it makes it again."""
+        n_docs, avgdl = docs.agg(F.count("*"), F.avg("dl")).first()
+        return cls(postings(docs), n_docs, float(avgdl or 1.0))
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str) -> Index:
+        """Write the index of tokenised documents: one scan of the texts, whose lengths are kept beside the postings."""
+        per = docs.select("doc_id", "dl", "tokens")
+        rows = postings(per).unionByName(per.select(F.lit(None).cast("string").alias("term"), "doc_id", "dl", F.lit(0).cast("long").alias("tf")))
+        rows.repartition("term", F.when(F.col("term").isNull(), F.col("doc_id"))).sortWithinPartitions("term", "doc_id").write.parquet(path)
+        return cls.load(docs.sparkSession, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        """A stored index; a row without a term stands for each document."""
+        rows = spark.read.schema("term string, doc_id long, dl int, tf long").parquet(path)
+        n_docs, avgdl = rows.where("term is null").agg(F.count("*"), F.avg("dl")).first()
+        return cls(rows.where("term is not null"), n_docs, float(avgdl or 1.0))
+
+
+def score(docs: DataFrame | Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75, method: str = "lucene", delta: float | None = None, repeat_terms: bool = False, digits: int = 6) -> DataFrame:
+    """(query_id, doc_id, score) of an index, or of tokenised documents, for (query_id, term), scores above 0.
 
     A term that a query repeats counts once, or as often as it is there.
     """
+    index = docs if isinstance(docs, Index) else Index.of(docs)
+    n_docs, avgdl = index.n_docs, index.avgdl
     asked = terms.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    exploded = docs.select("doc_id", "dl", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    posts = exploded.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    n_docs, avgdl = stats.first() or (0, None)
+    wanted = asked.select("term").distinct()
+    if isinstance(docs, Index):
+        n = wanted.count()
+        wanted = F.broadcast(wanted) if n <= BROADCAST_TERMS else wanted
+    posts = index.postings.join(wanted, "term", "left_semi")
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     rows = posts.join(df, "term").join(asked, "term")
     delta = {"bm25l": 0.5, "bm25+": 1.0}.get(method, 0.0) if delta is None else delta
-    n, f, length = F.col("df"), F.col("tf"), k1 * (1 - b + b * F.col("dl") / F.lit(float(avgdl or 1.0)))
+    n, f, length = F.col("df"), F.col("tf"), k1 * (1 - b + b * F.col("dl") / F.lit(avgdl))
     smooth = F.log(1 + (n_docs - n + 0.5) / (n + 0.5))
     parts = {
         "pool": F.greatest(F.lit(0.0), smooth) * f * (k1 + 1) / (f + length),

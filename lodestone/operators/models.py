@@ -30,10 +30,10 @@ def hashing_encoder(texts: list[str]) -> list[np.ndarray]:
 
 
 def overlap_scorer(questions: list[str], texts: list[str]) -> list[float]:
-    """Share of the question's distinct words that the first 512 characters of a text hold."""
+    """Share of the question's distinct words that a text holds."""
     out = []
     for question, text in zip(questions, texts, strict=True):
-        wanted, there = set(question.lower().split()), set(text[:512].lower().split())
+        wanted, there = set(question.lower().split()), set(text.lower().split())
         out.append(len(wanted & there) / len(wanted) if wanted else 0.0)
     return out
 

@@ -35,6 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(rows) if name == "documents" else rows
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files, from the store alone."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = system.listStatus(there)
+    return path + "".join(sorted(f"|{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once and read back: a table with known size, and an end to its lineage."""
     path = shared_path(df.sparkSession, name)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
 from lodestone.operators import bm25, dense, evaluate, fusion, maxsim, mining, models, passages, rank, rerank
-from lodestone.plans.base import query, rounded, stored, table
+from lodestone.plans.base import fingerprint, query, rounded, shared_path, stored, table
 from lodestone.plans.scalars import STOPS, TERMS_SQL
 
 DEPTH = 100
@@ -33,12 +33,24 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     return bm25.tokenised(table(spark, d, "documents"), bm25.full_tokens(F.col("text")))
 
 
+#: Stored indexes of this process by application and corpus.
+_INDEXES: dict[tuple[str, str], bm25.Index] = {}
+
+
+def index(spark: SparkSession, d: str) -> bm25.Index:
+    """The corpus's stored index: built by the first query, read by all others as long as the files are the same."""
+    key = (spark.sparkContext.applicationId, fingerprint(spark, f"{d}/documents.parquet"))
+    if key not in _INDEXES:
+        _INDEXES[key] = bm25.Index.build(tokens(spark, d), shared_path(spark, "index"))
+    return _INDEXES[key]
+
+
 def item_terms(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).select("query_id", F.explode(bm25.full_tokens(F.col("text"))).alias("term"))
 
 
 def item_ranking(spark: SparkSession, d: str, k: int = DEPTH, method: str = "lucene") -> DataFrame:
-    return rank.top_k(bm25.score(tokens(spark, d), item_terms(spark, d), method=method), "query_id", "score", "doc_id", k)
+    return rank.top_k(bm25.score(index(spark, d), item_terms(spark, d), method=method), "query_id", "score", "doc_id", k)
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +73,7 @@ def dense_list(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
 
 def text_list(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
     terms = titles(spark, d).select("query_id", F.explode(bm25.full_tokens(F.col("text"))).alias("term"))
-    return rank.top_k(bm25.score(tokens(spark, d), terms), "query_id", "score", "doc_id", k)
+    return rank.top_k(bm25.score(index(spark, d), terms), "query_id", "score", "doc_id", k)
 
 
 def label_gold(spark: SparkSession, d: str) -> DataFrame:
@@ -146,8 +158,7 @@ for _method, _value in METHODS_SQL.items():
 
 @query("SNK5_stored_postings", f"WITH {DT} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(tokens) AS term FROM dt) GROUP BY term")
 def snk5(spark: SparkSession, d: str) -> DataFrame:
-    index = stored(bm25.postings(tokens(spark, d)), "postings")
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return index(spark, d).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 POOL = f"""pt AS (SELECT dn.query_id, dn.doc_id, {{blank}} AS tokens FROM dn JOIN documents USING (doc_id)),
@@ -238,25 +249,21 @@ def token_vectors(spark: SparkSession, d: str) -> DataFrame:
     return maxsim.token_table(rows, "g", "vec_id", "embedding")
 
 
-def token_pairs(docs: DataFrame) -> DataFrame:
-    """Every question (a document in twenty) with every document of its residue class."""
-    q = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"))
-    return q.join(docs.select("doc_id", (F.col("doc_id") % 4).alias("r")), (F.col("query_id") / 20 % 4).cast("long") == F.col("r")).select("query_id", "doc_id")
-
-
-@query("RT6_maxsim", f"WITH {TOKV} SELECT q.doc_id AS query_id, c.doc_id, round({MAXSIM}, 6) AS score FROM tv q JOIN tv c ON q.doc_id % 20 = 0 AND (q.doc_id // 20) % 4 = c.doc_id % 4")
+@query("RT6_maxsim", f"WITH {TOKV} SELECT q.doc_id AS query_id, c.doc_id, round({MAXSIM}, 6) AS score FROM tv q JOIN tv c ON q.doc_id % 20 = 0")
 def rt6(spark: SparkSession, d: str) -> DataFrame:
     docs = stored(token_vectors(spark, d), "tokens")
-    return maxsim.rerank(token_pairs(docs), docs.where("doc_id % 20 = 0"), docs).select("query_id", "doc_id", "score")
+    return maxsim.score_all(docs, docs.where("doc_id % 20 = 0"))
 
 
 @query(
     "RT7_late_interaction_rerank",
-    f"WITH {TOKV}, s AS (SELECT q.doc_id AS query_id, c.doc_id, round({MAXSIM}, 6) AS score FROM tv q JOIN tv c ON q.doc_id % 20 = 0 AND (q.doc_id // 20) % 4 = c.doc_id % 4 WHERE c.doc_id % 3 <> 0) SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s",
+    f"WITH {_dn(50)}, {TOKV}, p AS (SELECT DISTINCT query_id // 5 AS query_id, doc_id // 5 AS doc_id FROM dn), s AS (SELECT p.query_id, p.doc_id, round({MAXSIM}, 6) AS score FROM p JOIN tv q ON q.doc_id = p.query_id JOIN tv c ON c.doc_id = p.doc_id) SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s",
 )
 def rt7(spark: SparkSession, d: str) -> DataFrame:
+    """A real candidate list, and for each question an id without vectors, which is dropped."""
     docs = stored(token_vectors(spark, d), "tokens")
-    return maxsim.rerank(token_pairs(docs), docs.where("doc_id % 20 = 0"), docs.where("doc_id % 3 <> 0"))
+    near = dense_list(spark, d, 50).select(F.expr("query_id div 5").alias("query_id"), F.expr("doc_id div 5").alias("doc_id")).distinct()
+    return maxsim.rerank(near.unionByName(near.select("query_id", F.lit(-1).cast("long").alias("doc_id")).distinct()), docs, docs)
 
 
 POOLED = f"""{TOKV}, mp AS (SELECT doc_id, list_transform(range(1, 65), lambda i: list_max(list_transform(vs, lambda v: v[i]))) AS m FROM tv), mn AS (SELECT doc_id, m, sqrt(list_dot_product(m, m)) AS s FROM mp),
@@ -381,14 +388,24 @@ def st3(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- reranking by models and given judgements
 
-@query("RT15_cross_encoder")
+#: Share of a question's distinct words that a text holds, from (query_id, doc_id) of `p`.
+OVERLAP = r"""qa AS (SELECT p.query_id, p.doc_id, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda t: t <> '')) AS q, list_distinct(list_filter(regexp_split_to_array(lower({passage}), '\s+'), lambda t: t <> '')) AS t FROM p JOIN benchmark b ON b.item_id = p.query_id JOIN documents d ON d.doc_id = p.doc_id),
+qs AS (SELECT query_id, doc_id, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, t)) / len(q) END AS model_score FROM qa)"""
+
+
+def _overlap(depth: int, passage: str, k: int) -> str:
+    return f"""WITH {_bm(ITEMS, k=depth)}, p AS (SELECT query_id, doc_id FROM bm), {OVERLAP.format(passage=passage)}
+SELECT query_id, doc_id, model_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY model_score DESC, doc_id) AS INTEGER) AS rank FROM qs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY model_score DESC, doc_id) <= {k}"""
+
+
+@query("RT15_cross_encoder", _overlap(20, "substr(d.text, 1, 512)", 20))
 def rt15(spark: SparkSession, d: str) -> DataFrame:
     pairs = item_ranking(spark, d, 20).join(table(spark, d, "documents").select("doc_id", F.substring("text", 1, 512).alias("passage")), "doc_id")
     pairs = pairs.join(items(spark, d).withColumnRenamed("text", "question"), "query_id").select("query_id", "doc_id", "question", "passage")
     return rank.ranked(models.score_pairs(pairs, "question", "passage"), "query_id", "model_score", "doc_id")
 
 
-@query("RT16_light_reranker")
+@query("RT16_light_reranker", _overlap(50, "d.text", 10))
 def rt16(spark: SparkSession, d: str) -> DataFrame:
     pairs = item_ranking(spark, d, 50).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     pairs = pairs.join(items(spark, d).withColumnRenamed("text", "question"), "query_id").select("query_id", "doc_id", "question", "text")
