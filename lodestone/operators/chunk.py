@@ -111,12 +111,12 @@ def hashed_vector(words: list[str], dims: int = 32) -> np.ndarray:
 
 
 def window_similarities(vectors: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> np.ndarray:
-    """MaxSim of neighbouring windows a stride apart, per token of a window."""
+    """MaxSim of neighbouring windows a stride apart: the sum, over the first one's tokens, of the best match in the second."""
     n = max(0, ceil(len(vectors) / stride) - 1)
     out = np.zeros(n)
     for k in range(n):
         a, b = vectors[k * stride : k * stride + window], vectors[(k + 1) * stride : (k + 1) * stride + window]
-        out[k] = (a @ b.T).max(1).mean() if len(a) and len(b) else 0.0
+        out[k] = (a @ b.T).max(1).sum() if len(a) and len(b) else 0.0
     return out
 
 

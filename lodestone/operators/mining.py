@@ -37,7 +37,7 @@ def split(rows: DataFrame, ident: str, seed: int, held_out: int = 1) -> DataFram
 
 def draw_negatives(negatives: Column, ident: Column, n: int, seed: int) -> Column:
     """n of an array by a seeded order that differs from row to row."""
-    keyed = F.transform(negatives, lambda x: F.struct(F.crc32(F.concat(F.lit(f"{seed}:"), ident.cast("string"), F.lit(":"), x.cast("string")).cast("binary")).alias("h"), x.alias("x")))
+    keyed = F.transform(negatives, lambda x: F.struct(F.md5(F.concat(F.lit(f"{seed}:"), ident.cast("string"), F.lit(":"), x.cast("string")).cast("binary")).alias("h"), x.alias("x")))
     return F.transform(F.slice(F.sort_array(keyed), 1, n), lambda s: s["x"])
 
 

@@ -13,10 +13,13 @@ from lodestone.operators import dense, fusion, rank
 
 def parsed_indices(reply: Column, n: Column) -> Column:
     """The first list of numbers in a reply as indices: what is out of range or repeats is dropped."""
-    inner = F.regexp_extract(reply, r"\[([\d,\s.\-eE]+)\]", 1)
-    values = F.transform(F.filter(F.transform(F.split(inner, ","), lambda v: F.trim(v)), lambda v: v != ""), lambda v: v.try_cast("double"))
-    whole = F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: v.cast("int"))
-    return F.array_distinct(F.filter(whole, lambda v: (v >= 0) & (v < n)))
+    opened = F.slice(F.split(reply, r"\["), 2, F.greatest(F.lit(1), F.size(F.split(reply, r"\["))))
+    closed = F.filter(opened, lambda part: F.contains(part, F.lit("]")))
+    items = F.transform(closed, lambda part: F.filter(F.transform(F.split(F.substring_index(part, "]", 1), ","), lambda v: F.trim(v)), lambda v: v != ""))
+    numbers = F.transform(items, lambda list_: F.transform(list_, lambda v: v.try_cast("double")))
+    first = F.get(F.filter(numbers, lambda list_: (F.size(list_) > 0) & F.forall(list_, lambda v: v.isNotNull())), F.lit(0))
+    whole = F.transform(F.filter(F.coalesce(first, F.array().cast("array<double>")), lambda v: (v >= 0) & (v < n)), lambda v: v.cast("int"))
+    return F.array_distinct(whole)
 
 
 def cascade(ranking: DataFrame, stages: list[tuple[int, int, DataFrame]]) -> DataFrame:

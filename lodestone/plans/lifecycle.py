@@ -166,7 +166,7 @@ def ft1(spark: SparkSession, d: str) -> DataFrame:
     return mining.split(table(spark, d, "documents").select("doc_id"), "doc_id", 42)
 
 
-@query("FT2_draw_negatives")
+@query("FT2_draw_negatives", "SELECT vec_id AS doc_id, list_transform(list_slice(list_sort(list_transform(range(vec_id + 1, vec_id + 25), lambda x: {'h': md5('42:' || vec_id || ':' || x), 'x': x})), 1, 7), lambda s: s.x) AS drawn FROM embeddings")
 def ft2(spark: SparkSession, d: str) -> DataFrame:
     near = vectors(spark, d).select("doc_id", F.sequence(F.col("doc_id") + 1, F.col("doc_id") + 24).alias("negatives"))
     return near.select("doc_id", mining.draw_negatives(F.col("negatives"), F.col("doc_id"), 7, 42).alias("drawn"))
@@ -210,13 +210,16 @@ def sm1(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), rounded(F.sum("value")).alias("total"))
 
 
-@query("SM1_windowed_counts")
+@query("SM1_windowed_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def sm1_windows(spark: SparkSession, d: str) -> DataFrame:
     schema, source, out = table(spark, d, "events").schema, shared_path(spark, "events"), shared_path(spark, "windows")
     table(spark, d, "events").write.parquet(source)
     counts = ev.windowed_counts(ev.file_stream(spark, source, schema)).select(F.col("window.start").alias("day"), "event_type", "n", "total")
-    ev.run_available(counts, ev.append_to(out), shared_path(spark, "offsets"))
-    return spark.read.schema(counts.schema).parquet(out)
+    offsets = shared_path(spark, "offsets")
+    ev.run_available(counts, ev.append_to(out), offsets)
+    ev.flush(spark, source, schema)
+    ev.run_available(counts, ev.append_to(out), offsets)  # with the windows that were still open
+    return spark.read.schema(counts.schema).parquet(out).select("day", "event_type", "n", rounded(F.col("total")).alias("total"))
 
 
 @query("SM2_incremental_ingest", "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents")
