@@ -62,6 +62,47 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, kind: str = "cosine", exc
     return rank.top_k(found, "query_id", "score", "doc_id", k)
 
 
+def at_or_above(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """(query_id, n): how many rows (doc_id, vector) lie, by cosine and then doc_id, at or above each goal (query_id, vector, doc_id, bar).
+
+    Counts are summed in the task, so no list of scores is made or sorted;
+    a query's counts come in parts.
+    """
+    usable = rows.where(F.col("vector").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "vector")
+    schema = "query_id long, n long"
+
+    def add(found: DataFrame | None, block: list) -> DataFrame:
+        ids, goal = (np.array([q[k] for q in block], np.int64) for k in (0, 2))
+        matrix, bar = np.array([q[1] for q in block], np.float64), np.array([q[3] for q in block], np.float64)
+        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        shared = rows.sparkSession.sparkContext.broadcast((ids, matrix, goal, bar))  # BLOCK vectors at most
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix, goal, bar = shared.value
+            total = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own = batch.column(0).to_numpy()
+                values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+                values = values / np.maximum(np.linalg.norm(values, axis=1, keepdims=True), 1e-300)
+                score = np.round(matrix @ values.T, 9)
+                total += ((score > bar[:, None]) | ((score == bar[:, None]) & (own <= goal[:, None]))).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["query_id", "n"])
+
+        made = usable.mapInArrow(count, schema)
+        return made if found is None else found.unionByName(made)
+
+    found, block = None, []
+    for q in goals.where(F.col("vector").isNotNull()).select(F.col("query_id").cast("long"), "vector", F.col("doc_id").cast("long"), "bar").toLocalIterator():
+        block.append(q)
+        if len(block) == BLOCK:
+            found, block = add(found, block), []
+    if block:
+        found = add(found, block)
+    return rows.sparkSession.createDataFrame([], schema) if found is None else found
+
+
 def scores(rows: DataFrame, queries: DataFrame, value: Column) -> DataFrame:
     """(query_id, doc_id, score) of every pair as an expression of q and v, for query sets of a few rows."""
     asked = F.broadcast(queries.select("query_id", F.col("vector").alias("q")))

@@ -18,10 +18,8 @@ def hard_negatives(vectors: DataFrame, queries: DataFrame, positives: DataFrame,
 
 def positive_ranks(vectors: DataFrame, queries: DataFrame, positives: DataFrame) -> DataFrame:
     """(query_id, rank) of each query's positive among all rows, by counting what is better."""
-    goal = queries.join(positives, "query_id").join(vectors.select("doc_id", F.col("vector").alias("p")), "doc_id").select("query_id", "doc_id", F.round(vx.dot(F.col("vector"), F.col("p")) / vx.norm(F.col("vector")) / vx.norm(F.col("p")), 9).alias("bar"))
-    every = dense.top_k(vectors, queries, vectors.count())
-    better = every.join(goal.withColumnRenamed("doc_id", "goal"), "query_id").where((F.col("score") > F.col("bar")) | ((F.col("score") == F.col("bar")) & (F.col("doc_id") <= F.col("goal"))))
-    return better.groupBy("query_id").agg(F.count("*").cast("int").alias("rank"))
+    goal = queries.join(positives, "query_id").join(vectors.select("doc_id", F.col("vector").alias("p")), "doc_id").select("query_id", "vector", "doc_id", F.round(vx.dot(F.col("vector"), F.col("p")) / vx.norm(F.col("vector")) / vx.norm(F.col("p")), 9).alias("bar"))
+    return dense.at_or_above(vectors, goal).groupBy("query_id").agg(F.sum("n").cast("int").alias("rank"))
 
 
 def hash_share(ident: Column, seed: int, buckets: int = 100) -> Column:

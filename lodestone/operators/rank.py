@@ -34,10 +34,14 @@ def first_per(rows: DataFrame, key: str, order: str) -> DataFrame:
     return best.select(key, "best.*")
 
 
+def seeded(ident: str, seed: int) -> Column:
+    """A key whose order is a reproducible draw: the MD5 of `seed:id`."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string")).cast("binary"))
+
+
 def sampled(rows: DataFrame, group: str, ident: str, n: int, seed: int) -> DataFrame:
     """At most n rows of each group by a seeded hash; the same on every run."""
-    order = F.xxhash64(F.col(ident), F.lit(seed))
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order, ident))).where(F.col("_r") <= n).drop("_r")
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(seeded(ident, seed), ident))).where(F.col("_r") <= n).drop("_r")
 
 
 def page(ranking: DataFrame, group: str, start: int, size: int) -> DataFrame:

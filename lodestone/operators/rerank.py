@@ -70,7 +70,7 @@ def strict_pass(ranking: DataFrame, grade: str, answer: str, depth: int = 20) ->
 
 
 def mmr(ranking: DataFrame, vectors: DataFrame, lam: float = 0.5, pool: int = 200, take: int = 200, query_vectors: DataFrame | None = None) -> DataFrame:
-    """Greedy diversity: lam * normalised score less (1 - lam) * nearness to what is picked (or, with query vectors, to the query).
+    """Greedy diversity: lam * normalised score less (1 - lam) * nearness to what is picked (or, with query vectors, to the query); equal values go by score, then doc_id.
 
     One query's pool is a task's group, so it is bounded by `pool`. Candidates without a vector are left out first.
     """
@@ -86,7 +86,7 @@ def mmr(ranking: DataFrame, vectors: DataFrame, lam: float = 0.5, pool: int = 20
         sims = v @ v.T if "q" not in group else np.tile(v @ np.asarray(group["q"].iloc[0], np.float64), (len(v), 1))
         near, left, order = np.zeros(len(v)), np.ones(len(v), bool), []
         for _ in range(min(take, len(v))):
-            value = np.where(left, lam * score - (1 - lam) * near, -np.inf)
+            value = np.where(left, np.round(lam * score - (1 - lam) * near, 9), -np.inf)
             best = int(value.argmax())
             order.append(best)
             left[best] = False

@@ -190,7 +190,17 @@ def ag2(spark: SparkSession, d: str) -> DataFrame:
     return df.join(stats, "query_id")
 
 
-@query("RT3_full_text")
+STEM = r"regexp_replace({term}, '([a-z]{{3}})(?:ies|es|s|ing|ed|ly|e)$', '\1')"
+
+
+@query(
+    "RT3_full_text",
+    f"""WITH pl AS (SELECT doc_id, unnest(s) AS term, unnest(range(len(s))) AS pos FROM (SELECT doc_id, list_transform({_terms('text')}, lambda t: {STEM.format(term='t')}) AS s FROM documents)),
+aq AS (SELECT DISTINCT query_id, {STEM.format(term='term')} AS term FROM (SELECT item_id AS query_id, unnest({TERMS_SQL}) AS term FROM benchmark)),
+hi AS (SELECT query_id, doc_id, count(DISTINCT term) * count(*) / sqrt(max(pos) - min(pos) + 1) AS density FROM pl JOIN aq USING (term) GROUP BY ALL),
+sc AS (SELECT query_id, doc_id, round(density / (density + 1), 9) AS score FROM hi)
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3000""",
+)
 def rt3(spark: SparkSession, d: str) -> DataFrame:
     return bm25.full_text(table(spark, d, "documents"), items(spark, d))
 
@@ -427,12 +437,26 @@ def _with_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return stored(fused(spark, d).select("query_id", "doc_id", "score", "rank"), "fused"), vectors(spark, d).select("doc_id", "vector")
 
 
-@query("RT19_mmr_dense")
+#: A query's fused pool with scores from 0 to 1 and its order.
+SCALED = "po AS (SELECT fr.query_id, fr.doc_id, fr.score, ve.v FROM fr JOIN ve USING (doc_id) WHERE rank <= 200), sc AS (SELECT query_id, doc_id, v, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-9) AS s, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM po WINDOW w AS (PARTITION BY query_id))"
+
+
+@query(
+    "RT19_mmr_dense",
+    f"""WITH RECURSIVE {BOTH}, {RRF}, {SCALED}, le AS (
+SELECT query_id, doc_id, v, s, r, 0::DOUBLE AS near, 1 AS step FROM sc
+UNION ALL
+SELECT query_id, doc_id, v, s, r, greatest(near, list_dot_product(v, picked)), step + 1 FROM (SELECT *, first_value(r) OVER w AS best, first_value(v) OVER w AS picked FROM le WINDOW w AS (PARTITION BY query_id, step ORDER BY round(0.5 * s - 0.5 * near, 9) DESC, r)) WHERE r <> best)
+SELECT query_id, doc_id, CAST(step AS BIGINT) AS rank FROM le QUALIFY row_number() OVER (PARTITION BY query_id, step ORDER BY round(0.5 * s - 0.5 * near, 9) DESC, r) = 1""",
+)
 def rt19(spark: SparkSession, d: str) -> DataFrame:
     return rerank.mmr(*_with_vectors(spark, d))
 
 
-@query("RT20_mmr_query")
+@query(
+    "RT20_mmr_query",
+    f"WITH {BOTH}, {RRF}, {SCALED}, va AS (SELECT sc.query_id, sc.doc_id, sc.r, round(0.5 * sc.s - 0.5 * greatest(0, list_dot_product(sc.v, q.v)), 9) AS value FROM sc JOIN ve q ON q.doc_id = sc.query_id) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY r = 1 DESC, value DESC, r) AS rank FROM va",
+)
 def rt20(spark: SparkSession, d: str) -> DataFrame:
     return rerank.mmr(*_with_vectors(spark, d), query_vectors=asked(spark, d))
 

@@ -211,7 +211,10 @@ def prj14(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.posexplode(tx.variants(F.col("text"))).alias("pos", "variant")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("PRJ15_hypothetical_passage")
+@query(
+    "PRJ15_hypothetical_passage",
+    r"SELECT item_id, CASE WHEN len(w) = 0 THEN '' ELSE 'This document describes ' || array_to_string(list_slice(w, 1, 20), ' ') || '.' END AS passage FROM (SELECT item_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda t: t <> '') AS w FROM benchmark)",
+)
 def prj15(spark: SparkSession, d: str) -> DataFrame:
     return models.apply_text_model(table(spark, d, "benchmark"), "item_id", "text", "passage", models.MODELS["passage"])
 
