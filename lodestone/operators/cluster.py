@@ -42,8 +42,8 @@ def split_into(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 
 def memberships(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    """(doc_id, cluster, probability): 1 - distance / (largest distance), a document's shares summing to 1. Centres are a small table."""
-    pairs = rows.select("doc_id", "vector").crossJoin(F.broadcast(centres.select("cluster", "centre")))
+    """(doc_id, cluster, probability): 1 - distance / (largest distance), a document's shares summing to 1."""
+    pairs = rows.select("doc_id", "vector").crossJoin(dense.few(centres.select("cluster", "centre")))
     near = pairs.select("doc_id", "cluster", vx.distance(F.col("vector"), F.col("centre")).alias("distance"))
     w = Window.partitionBy("doc_id")
     share = near.withColumn("closeness", 1 - F.col("distance") / (F.max("distance").over(w) + 1e-8))

@@ -14,6 +14,8 @@ from lodestone.operators import rank
 
 #: Queries that are sent to every task at once; more are searched block after block.
 BLOCK = 4096
+#: Rows of a table of vectors up to which it is broadcast.
+FEW = 20_000
 
 
 def _block_scores(rows: DataFrame, queries: list, k: int, kind: str) -> DataFrame:
@@ -62,6 +64,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, kind: str = "cosine", exc
     return rank.top_k(found, "query_id", "score", "doc_id", k)
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they are counted to be few; a larger table is joined as Spark plans it. Hand over a stored table: it is read twice."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
 def at_or_above(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """(query_id, n): how many rows (doc_id, vector) lie, by cosine and then doc_id, at or above each goal (query_id, vector, doc_id, bar).
 
@@ -105,7 +112,7 @@ def at_or_above(rows: DataFrame, goals: DataFrame) -> DataFrame:
 
 def scores(rows: DataFrame, queries: DataFrame, value: Column) -> DataFrame:
     """(query_id, doc_id, score) of every pair as an expression of q and v, for query sets of a few rows."""
-    asked = F.broadcast(queries.select("query_id", F.col("vector").alias("q")))
+    asked = few(queries.select("query_id", F.col("vector").alias("q")))
     return rows.select("doc_id", F.col("vector").alias("v")).crossJoin(asked).select("query_id", "doc_id", F.round(value, 9).alias("score"))
 
 
@@ -116,8 +123,8 @@ def by_distance(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    """doc_id with the nearest centre (cluster, centre) and its distance; centres are a small table."""
-    pairs = rows.select("doc_id", "vector").crossJoin(F.broadcast(centres.select("cluster", "centre")))
+    """doc_id with the nearest centre (cluster, centre) and its distance."""
+    pairs = rows.select("doc_id", "vector").crossJoin(few(centres.select("cluster", "centre")))
     near = pairs.select("doc_id", F.struct(F.round(vx.distance(F.col("vector"), F.col("centre")), 9).alias("distance"), "cluster").alias("at"))
     return near.groupBy("doc_id").agg(F.min("at").alias("at")).select("doc_id", "at.cluster", "at.distance")
 

@@ -13,7 +13,7 @@ from lodestone.plans.scalars import STOPS
 
 
 def centres(spark: SparkSession, d: str) -> DataFrame:
-    return dense.elementwise(table(spark, d, "embeddings"), "label", "embedding").withColumnRenamed("label", "cluster")
+    return stored(dense.elementwise(table(spark, d, "embeddings"), "label", "embedding").withColumnRenamed("label", "cluster"), "centres")
 
 
 SHARES = f"{MEANS}, {VD}, ds AS (SELECT doc_id, label, cluster, {DIST} AS distance FROM vd, me), cl AS (SELECT *, 1 - distance / (max(distance) OVER (PARTITION BY doc_id) + 1e-8) AS c FROM ds), sh AS (SELECT doc_id, label, cluster, distance, c / sum(c) OVER (PARTITION BY doc_id) AS p FROM cl)"

@@ -44,6 +44,15 @@ def ch3(spark: SparkSession, d: str) -> DataFrame:
     return chunk.apply(turns, pieces, "pieces long", ["pieces"], ("conv_id", "turn"))
 
 
+@query("CH4_short_sentences", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 40 + 3 < 20 THEN 1 ELSE 2 END::BIGINT AS pieces FROM documents")
+def ch4(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of a first one, 3 to 42 characters long with its stop and blank, and a long one: a short first one takes the next in, unless it is a bullet."""
+    bullet = F.when(F.col("doc_id") % 2 == 1, "- ").otherwise("")
+    first = F.concat(bullet, F.repeat(F.lit("a"), (F.col("doc_id") % 40 + 1).cast("int")), F.lit(". "))
+    made = table(spark, d, "documents").select("doc_id", F.concat(first, F.lit("This one is surely long enough to stand.")).alias("text"))
+    return chunk.apply(made, lambda t: [(len(chunk.sentences(t)),)], "pieces long", ["pieces"])
+
+
 @query("CH5_bounded_sentences", "SELECT doc_id, true AS bounded FROM documents WHERE text <> ''")
 def ch5(spark: SparkSession, d: str) -> DataFrame:
     return chunk.sentence_table(docs(spark, d)).groupBy("doc_id").agg((F.max(F.col("end") - F.col("start")) <= chunk.LONG + chunk.AHEAD).alias("bounded"))

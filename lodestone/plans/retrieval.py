@@ -242,7 +242,7 @@ def wn5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("AG1_best_of_variants", f"WITH {VEC} SELECT q.label AS query_id, c.doc_id, round(max(list_dot_product(q.v, c.v) / q.s / c.s), 9) AS score FROM ve q, ve c WHERE q.doc_id % 100 = 0 GROUP BY ALL")
 def ag1(spark: SparkSession, d: str) -> DataFrame:
-    groups = F.broadcast(asked(spark, d).select("query_id", "label"))
+    groups = asked(spark, d).select("query_id", "label")
     n = vectors(spark, d).count()
     found = dense.top_k(vectors(spark, d), asked(spark, d), n).join(groups, "query_id")
     return found.groupBy(F.col("label").alias("query_id"), "doc_id").agg(F.max("score").alias("score"))

@@ -161,3 +161,21 @@ def test_split_is_reproducible_and_small(spark):
 def test_sample_is_bounded_per_group(spark):
     rows = spark.range(40).select((F.col("id") % 3).alias("g"), "id")
     assert {r["count"] for r in rank.sampled(rows, "g", "id", 5, 1).groupBy("g").count().collect()} == {5}
+
+
+def test_ranks_of_goals_are_counted_with_ties(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [2.0, 0.0])], "doc_id long, vector array<double>")
+    goals = spark.createDataFrame([(10, [1.0, 0.0], 2, 1.0), (11, [0.0, 3.0], 3, 1.0), (12, [1.0, 0.0], 3, 0.0)], "query_id long, vector array<double>, doc_id long, bar double")
+    got = dense.at_or_above(vectors, goals).groupBy("query_id").agg(F.sum("n").alias("n")).collect()
+    assert {r.query_id: r.n for r in got} == {10: 2, 11: 1, 12: 4}
+    assert dense.at_or_above(vectors, goals.limit(0)).count() == 0
+
+
+def test_a_table_over_the_bound_is_not_broadcast(spark, monkeypatch):
+    centres = spark.createDataFrame([(0, [0.0]), (1, [5.0]), (2, [9.0])], "cluster int, centre array<double>")
+    rows = spark.createDataFrame([(1, [1.0]), (2, [8.0])], "doc_id long, vector array<double>")
+    plan = lambda: dense.few(centres)._jdf.queryExecution().logical().toString()
+    assert "ResolvedHint" in plan() or "broadcast" in plan().lower()
+    monkeypatch.setattr(dense, "FEW", 2)
+    assert "broadcast" not in plan().lower()
+    assert {r.doc_id: r.cluster for r in dense.nearest(rows, centres).collect()} == {1: 0, 2: 2}
