@@ -183,7 +183,8 @@ QUANT = "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddi
 @query("PRJ11_quantise", QUANT + "SELECT vec_id, round(scale, 9) AS scale, q FROM q")
 def prj11(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", "embedding", vx.quantise_scale(F.col("embedding")).alias("scale"))
-    return rows.select("vec_id", rounded(F.col("scale"), 9).alias("scale"), vx.quantised(F.col("embedding"), F.col("scale")).alias("q"))
+    rows = rows.withColumn("q", vx.quantised(F.col("embedding"), F.col("scale")))  # beside the rounded scale, Spark would take that one within the lambda
+    return rows.select("vec_id", rounded(F.col("scale"), 9).alias("scale"), "q")
 
 
 @query("PRJ12_dequantise", QUANT + "SELECT vec_id, round(list_max(list_transform(range(1, 65), lambda i: abs(q[i] * scale - v[i]))), 6) AS worst FROM q")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone import sources
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
+from lodestone.plans import catalogue
 
 
 def one(spark, column, **values):
@@ -61,6 +62,20 @@ def test_quantisation_rounds_half_even(spark):
     assert one(spark, vx.quantised(F.col("v"), F.lit(2.0)), v=[1.0, 3.0, 254.0, -300.0]) == [0, 2, 127, -128]
 
 
+def test_codes_come_from_the_exact_scale(spark, tmp_path):
+    import numpy as np
+
+    vectors = {1: [0.24562455713748932, 0.3524781763553619, -0.1], 2: [1e-10, -3e-9, 127e-10], 3: [0.5, -1.0, 0.25]}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: (r.scale, r.q) for r in catalogue.queries()["PRJ11_quantise"](spark, str(tmp_path)).collect()}
+    for k, v in vectors.items():
+        x = np.array(v, np.float32).astype(float)
+        scale = np.abs(x).max() / 127
+        assert got[k] == (round(scale, 9), np.rint(x / scale).astype(int).tolist())
+        if k == 1:  # this value's code would be another by the rounded scale
+            assert np.rint(x[0] / scale) != np.rint(x[0] / round(scale, 9))
+
+
 def test_maxsim_of_an_empty_document_is_zero(spark):
     rows = spark.sql("select array(array(1d, 0d), array(0d, 1d)) q, cast(array() as array<array<double>>) e, array(array(.5d, 0d), array(.2d, .9d), array(0d, 0d)) d")
     assert rows.select(vx.maxsim(F.col("q"), F.col("e"))).first()[0] == 0
