@@ -8,6 +8,7 @@ without gaps; ranges of children nest in their parent's and cover it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from math import ceil
 from zlib import crc32
@@ -59,8 +60,19 @@ def _ends_sentence(text: str, at: int) -> bool:
     return word not in ABBREVIATIONS
 
 
+def _outside(end: int, a: int, blocks: list[tuple[int, int]]) -> int:
+    """A cut of the piece from a, moved out of the block that it falls in: to the block's end if the piece stays short enough, else to its start."""
+    k = bisect_left(blocks, (end,)) - 1  # the last block that starts before the cut
+    if k < 0 or blocks[k][1] <= end:
+        return end
+    x, y = blocks[k]
+    if y - a <= (LONG if x > a else LONG + AHEAD):
+        return y
+    return x if x > a else end  # no sentence can hold the block
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Character ranges of the sentences; they cover the text."""
+    """Character ranges of the sentences; they cover the text. Code is cut only if it is over LONG + AHEAD."""
     if not text:
         return []
     flat, blocks = _masked(text)
@@ -89,6 +101,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
             if not end:
                 blank = max(text.rfind(" ", a + 1, a + LONG), text.rfind("\t", a + 1, a + LONG))
                 end = blank + 1 if blank > a else a + LONG
+            end = _outside(end, a, blocks)
             out.append((a, end))
             a = end
         if a < b:

@@ -34,7 +34,7 @@ def ch2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("CH3_masked_code", "SELECT conv_id, turn, CAST(1 AS BIGINT) AS pieces FROM conversations")
 def ch3(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences that hold any part of a fenced block around a turn's whole text: one, unless the block is over chunk.LONG."""
+    """Sentences that hold any part of a fenced block around a turn's whole text: one, unless the block is over chunk.LONG + chunk.AHEAD, which CH5 bounds."""
     turns = table(spark, d, "conversations").withColumn("text", F.concat(F.lit("Before it. ```"), F.regexp_replace(F.coalesce("text", F.lit("")), "`", ""), F.lit("``` After it.")))
 
     def pieces(text: str) -> list[tuple[int]]:

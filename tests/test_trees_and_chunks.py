@@ -183,3 +183,32 @@ def test_whole_turns_are_masked_and_keep_their_keys(spark, tmp_path):
         want[k] = len({n for n, (a, b) in enumerate(chunk.sentences(whole)) for at in range(*blocks[0]) if a <= at < b})
     assert sorted((r.conv_id, r.turn, r.pieces) for r in rows) == sorted((*k, n) for k, n in want.items())
     assert want[1, 0] == want[0, 1000] == 1 < want[1, 2]
+
+
+@pytest.mark.parametrize("filler", ["word ", "line one\nline two\n", "x"])
+def test_turns_that_a_sentence_can_hold_are_one_piece(spark, tmp_path, filler):
+    most = chunk.LONG + chunk.AHEAD - 6  # the fences are six characters
+    sizes = {**dict(enumerate((1000, 1983, 1984, 1985, 1993, 1994, 1995, 2029, most))), 100: most + 1, 101: 3 * most}
+    spark.createDataFrame([(1, k, (filler * n)[:n]) for k, n in sizes.items()], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.turn: r.pieces for r in catalogue.queries()["CH3_masked_code"](spark, str(tmp_path)).collect()}
+    assert got.keys() == sizes.keys()
+    assert all((n == 1) == (k < 100) for k, n in got.items())
+
+
+def test_code_is_cut_only_if_no_sentence_can_hold_it():
+    rng = np.random.default_rng(5)
+    fill = lambda n: "".join(rng.choice(["word ", "one\n", "xxxxx", "a b. C ", "\n\n"], n // 2))[:n]
+    whole = 0
+    for _ in range(300):
+        text = ""
+        for n in rng.integers(0, 3000, 4).tolist():
+            around = [("```", "```"), ("<!--", "-->"), ("", "")][rng.integers(3)]
+            text += around[0] + fill(n) + around[1] + "".join(rng.choice(["y", "z "], int(rng.integers(1, 1500))))
+        parts = chunk.sentences(text)
+        assert "".join(text[a:b] for a, b in parts) == text
+        assert all(a < b <= a + chunk.LONG + chunk.AHEAD for a, b in parts)
+        for x, y in chunk._masked(text)[1]:
+            if y - x <= chunk.LONG + chunk.AHEAD:
+                whole += 1
+                assert any(a <= x and y <= b for a, b in parts)
+    assert whole > 100
