@@ -23,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha1
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -31,11 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, map_batches, read_blobs, shared_path, tune, write_blobs
-from lodestone.llm.pieces import ODD, units
+from lodestone.llm.common import cut, map_batches, read_blobs, shared_path, tune, utf8, write_blobs
+from lodestone.llm.pieces import GAP, STOP, plain_parts, spans
 
 #: The id that ends a document; bytes of a file and of a range of documents, about; most ranges (then larger); words that a worker remembers.
 END, FILE_BYTES, RANGE_BYTES, MOST_RANGES, CACHE = 2, 8 << 20, 16 << 20, 10_000, 1_400_000
+#: Bytes of a group of texts and of the groups whose words are looked up together, about; a longer text is a group by itself.
+GROUP_BYTES, HELD_BYTES = 2 << 20, 16 << 20
 #: Rows up to which the table of files is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 MAGIC, RANKS_MAGIC = b"LDTK0002", b"LDTKRANK"
@@ -72,12 +75,29 @@ def unpack(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return out
 
 
+class Known:
+    """Words and their ids, which lie behind one another; the first words are STOP and GAP."""
+
+    def __init__(self, kind: str) -> None:
+        self.at = {STOP: 0, GAP: 1}
+        self.ids, self.first, self.sizes = np.array([END], kind), np.array([0, 1]), np.array([1, 0])
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers; -1 if not known."""
+        return np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+
+    def add(self, words: list[bytes], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.ids, self.sizes = np.concatenate([self.ids, *ids]), np.concatenate([self.sizes, *sizes])
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+
 #: Words that this worker knows, by tokenizer; they outlive a task.
-_KNOWN: dict[str, dict[str, bytes]] = {}
+_KNOWN: dict[str, Known] = {}
 
 
-def encoder(vocabulary: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Encodes texts to little-endian ids with the library.
+def flat_encoder(vocabulary: str) -> Callable[[list[list[bytes]]], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Encodes groups of texts in UTF-8 with the library: all ids of a group, and how many each text has.
 
     Texts are taken apart into words, and only words that are not known are
     encoded, many in one text: a token that ends a word tells where the next
@@ -92,35 +112,62 @@ def encoder(vocabulary: str) -> Callable[[list[str | None]], list[bytes]]:
     library.no_padding()
     tokens = library.get_vocab(with_added_tokens=True)
     kind = "<u2" if max(tokens.values()) < 1 << 16 else "<u4"
-    width = int(kind[-1])
-    end = np.array([END], kind).tobytes()
     ends_word = np.zeros(max(tokens.values()) + 1, bool)
     ends_word[[k for t, k in tokens.items() if t.endswith("</w>")]] = True
-    special = [t.content for t in library.get_added_tokens_decoder().values()]
-    known = _KNOWN.setdefault(sha1(vocabulary.encode()).hexdigest(), {})
+    special = [t.content.encode() for t in library.get_added_tokens_decoder().values()]
+    key = sha1(vocabulary.encode()).hexdigest()
+
+    def each(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([k for ids in made for k in ids], kind), np.array([len(ids) for ids in made], np.int64)
 
-    def learn(new: list[str]) -> None:
-        words = [u for u in new if u[0] != ODD]
+    def learn(known: Known, words: list[bytes], odd: list[bytes]) -> None:
+        made = []
         for a in range(0, len(words), 512):
-            some = words[a : a + 512]
-            made = np.array(library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, kind)
-            last = np.flatnonzero(ends_word[made]) + 1
-            if len(last) != len(some):  # a tokenizer of another kind
-                known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(some, library.encode_batch_fast(some, add_special_tokens=False), strict=True))
-                continue
-            raw, at = made.tobytes(), 0
-            for word, stop in zip(some, (last * width).tolist(), strict=True):
-                known[word] = raw[at:stop]
-                at = stop
-        odd = [u for u in new if u[0] == ODD]
-        known.update((u, np.array(e.ids, kind).tobytes()) for u, e in zip(odd, library.encode_batch_fast([u[1:] for u in odd], add_special_tokens=False), strict=True))
+            some = b" ".join(words[a : a + 512]).decode()
+            ids = np.array(library.encode_batch_fast([some], add_special_tokens=False)[0].ids, kind)
+            last = np.flatnonzero(ends_word[ids]) + 1
+            whole = len(last) == len(words[a : a + 512]) and last[-1] == len(ids)  # or else a tokenizer of another kind
+            made.append((ids, np.diff(last, prepend=0)) if whole else each(some.split(" ")))
+        made.append(each([w.removeprefix(GAP).decode() for w in odd]))
+        known.add(words + odd, *zip(*made, strict=True))
+
+    def encode(groups: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        known = _KNOWN.setdefault(key, Known(kind))
+        if len(known.at) > CACHE:
+            known = _KNOWN[key] = Known(kind)
+        plain, odd = [], []
+        for texts in groups:
+            joined, others = plain_parts(texts, special)
+            at, short = spans(joined)
+            plain.append(pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(short)]))
+            odd.append([GAP + u for u in others])
+        found = pa.chunked_array(plain, pa.binary()).dictionary_encode().unify_dictionaries()  # one dictionary
+        del plain
+        names = found.chunk(0).dictionary.to_pylist()
+        numbers = known.find(names)
+        new = np.flatnonzero(numbers < 0)
+        numbers[new] = len(known.at) + np.arange(len(new))
+        learn(known, [names[k] for k in new.tolist()], [u for u in set().union(*odd) if u not in known.at])
+        for part, others in zip(found.chunks, odd, strict=True):
+            words = numbers[part.indices.to_numpy()]
+            words[words == 1] = known.find(others)
+            sizes = known.sizes[words]
+            stops = np.cumsum(sizes)
+            at = np.repeat(known.first[words] - (stops - sizes), sizes)
+            at += np.arange(len(at))
+            yield known.ids[at], np.diff(stops[words == 0], prepend=0)
+
+    return encode
+
+
+def encoder(vocabulary: str) -> Callable[[list[str | None]], list[bytes]]:
+    """Encodes texts to little-endian ids, each with the end id."""
+    flat = flat_encoder(vocabulary)
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        split = [units(t, special) for t in texts]
-        if len(known) > CACHE:
-            known.clear()
-        learn(list(set().union(*split).difference(known)))
-        return [b"".join([known[u] for u in us]) + end for us in split]
+        ((ids, sizes),) = flat([[(t or "").encode() for t in texts]])
+        return [part.tobytes() for part in np.split(ids, np.cumsum(sizes))[: len(texts)]]
 
     return encode
 
@@ -128,18 +175,37 @@ def encoder(vocabulary: str) -> Callable[[list[str | None]], list[bytes]]:
 def ids_table(docs: DataFrame, vocabulary: str, size: int, width: int, text_column: str = "text") -> DataFrame:
     """doc_id, ids (little-endian, the end id last), and on a task's last row the counts of all its ids."""
     shared = tune(docs.sparkSession).sparkContext.broadcast(vocabulary)  # one file of a public tokenizer
-    kind = f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, last = encoder(shared.value), np.zeros(size, np.int64), None
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                made = encode(part.column(1).to_pylist())
-                seen += np.bincount(np.frombuffer(b"".join(made), kind), minlength=size)
-                if last is not None:
-                    yield last
-                last = pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary()), pa.nulls(len(made), pa.binary())], ["doc_id", "ids", "counts"])
+        encode, seen, last, held, room = flat_encoder(shared.value), np.zeros(size, np.int64), None, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (ids, _), (made, sizes) in zip(held, encode([texts for _, texts in held]), strict=True):
+                seen[:] += np.bincount(made, minlength=size)
+                bounds = pa.py_buffer((np.append(0, np.cumsum(sizes)) * width).astype(np.int32))
+                column = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, bounds, pa.py_buffer(made)])
+                yield pa.RecordBatch.from_arrays([ids, column, pa.nulls(len(sizes), pa.binary())], ["doc_id", "ids", "counts"])
+
+        def made() -> Iterator[pa.RecordBatch]:
+            nonlocal held, room
+            for batch in batches:
+                texts, a = utf8(batch.column(1)), 0
+                before = np.cumsum([0, *map(len, texts)])
+                while a < len(texts):
+                    b = max(a + 1, int(np.searchsorted(before, before[a] + GROUP_BYTES, "right")) - 1)
+                    if held and room + before[b] - before[a] > HELD_BYTES:
+                        yield from out()
+                        held, room = [], 0
+                    held.append((batch.column(0).slice(a, b - a), texts[a:b]))
+                    room += int(before[b] - before[a])
+                    a = b
+            if held:
+                yield from out()
+
+        for batch in made():
+            if last is not None:
+                yield last
+            last = batch
         if last is not None:
             counts = pa.array([None] * (last.num_rows - 1) + [seen.astype("<i8").tobytes()], pa.binary())
             yield pa.RecordBatch.from_arrays([*last.columns[:2], counts], last.schema.names)
